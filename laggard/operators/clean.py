@@ -11,22 +11,29 @@ from .quantiles import approx_medians, quantile_values
 IMPUTED = ("cpu_request", "memory_request", "disk_space_request", "priority", "scheduling_class")
 
 
+def _not_negative(df: DataFrame, name: str) -> Column:
+    """``name >= 0``; kept on the bare column for whole numbers, so that the scan can use it."""
+    whole = isinstance(df.schema[name].dataType, T.IntegralType)
+    return (F.col(name) if whole else number(df, name)) >= 0
+
+
 def _event_rules(df: DataFrame) -> list[tuple[str, Column]]:
     """Row rules of the event format, in the order they apply."""
     rules = []
     if "missing_info" in df.columns:
-        rules.append(("missing_info", number(df, "missing_info") == 0))
+        rules.append(("missing_info", F.col("missing_info").try_cast("double") == 0))
     rules += [
         ("null_id", F.col("job_id").isNotNull() & F.col("task_index").isNotNull()),
-        ("negative_id", (number(df, "job_id") >= 0) & (number(df, "task_index") >= 0)),
+        ("negative_id", _not_negative(df, "job_id") & _not_negative(df, "task_index")),
     ]
     if "timestamp" in df.columns:
-        rules.append(("negative_time", number(df, "timestamp") >= 0))
+        rules.append(("negative_time", _not_negative(df, "timestamp")))
     return rules
 
 
 def _valid_event(df: DataFrame) -> Column:
-    return number(df, "event_type").isin([float(c) for c in range(9)])
+    whole = isinstance(df.schema["event_type"].dataType, T.IntegralType)
+    return F.col("event_type").isin(list(range(9))) if whole else number(df, "event_type").isin([float(c) for c in range(9)])
 
 
 def impute_medians(df: DataFrame, columns=IMPUTED, approx: bool = False) -> DataFrame:
@@ -60,9 +67,9 @@ def _canonical_id(column: str) -> Column:
 
 def _numeric_ids(df: DataFrame, drop_negative: bool) -> DataFrame:
     """When over half of the ids are numbers, unify them and optionally drop negative ones."""
-    value = number(df, "job_id")
     if not isinstance(df.schema["job_id"].dataType, T.StringType):
-        return df.filter((value >= 0) | value.isNull()) if drop_negative else df
+        return df.filter(_not_negative(df, "job_id")) if drop_negative else df
+    value = number(df, "job_id")
     seen = df.agg(F.count(value).alias("parsed"), F.count("*").alias("n")).first()
     if seen["parsed"] <= 0.5 * seen["n"]:
         return df

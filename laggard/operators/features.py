@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.coerce import SUBMIT_ALIASES, alias_columns, coerce_numbers, number
@@ -109,10 +109,9 @@ def training_frame(df: DataFrame, mode: str = "pre_exec", keep=("job_id",)) -> D
     """Key columns, a ``features`` vector (NULL as 0) and, when labelled, a double ``label``."""
     names = feature_columns(mode)
     require_columns(df, names, "job table")
-    filled = df.withColumns({c: F.coalesce(number(df, c), F.lit(0.0)) for c in names})
-    out = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
+    vector = array_to_vector(F.array(*[F.coalesce(number(df, c), F.lit(0.0)) for c in names])).alias("features")
     label = [F.col("is_skewed").cast("double").alias("label")] if "is_skewed" in df.columns else []
-    return out.select(*[c for c in keep if c in df.columns], "features", *label)
+    return df.select(*[c for c in keep if c in df.columns], vector, *label)
 
 
 def aggregate_job_level(df: DataFrame, order_col: str | None = None) -> DataFrame:

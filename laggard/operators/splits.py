@@ -23,17 +23,22 @@ TRAIN, TEST = "train", "test"
 # ---------------------------------------------------------------- templates
 
 
-def quantile_bucket(df: DataFrame, column: str, buckets: int = 5) -> Column:
-    """Ordinal of the right-closed quantile interval a value falls in.
+def quantile_buckets(df: DataFrame, columns: Sequence[str], buckets: int = 5) -> dict[str, Column]:
+    """Ordinal of the right-closed quantile interval each value falls in, per column.
 
     Repeated edges are merged; a constant column has no interval and gives NULL.
+    The edges of all columns are found together.
     """
-    edges = quantile_values(df, [column], [i / buckets for i in range(buckets + 1)]).get(column, [])
-    edges = sorted(set(edges))
-    if len(edges) < 2:
-        return F.lit(None).cast("int")
-    above = sum((F.col(column) > F.lit(e)).cast("int") for e in edges[1:-1]) if len(edges) > 2 else F.lit(0)
-    return F.when(F.col(column).isNotNull(), above)
+    found = quantile_values(df, columns, [i / buckets for i in range(buckets + 1)])
+    out = {}
+    for c in columns:
+        edges = sorted(set(found.get(c, [])))
+        if len(edges) < 2:
+            out[c] = F.lit(None).cast("int")
+            continue
+        above = sum(((F.col(c) > F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(0))
+        out[c] = F.when(F.col(c).isNotNull(), above)
+    return out
 
 
 def add_template_id(df: DataFrame) -> DataFrame:
@@ -43,9 +48,8 @@ def add_template_id(df: DataFrame) -> DataFrame:
     for name in ("scheduling_class", "priority", "num_tasks"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(0))
-    df = df.withColumns(
-        {"priority_bucket": quantile_bucket(df, "priority"), "num_tasks_bucket": quantile_bucket(df, "num_tasks")}
-    )
+    buckets = quantile_buckets(df, ["priority", "num_tasks"])
+    df = df.withColumns({f"{c}_bucket": b for c, b in buckets.items()})
     parts = ("scheduling_class", "priority_bucket", "num_tasks_bucket")
     text = [F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in parts]
     return df.withColumn("template_id", F.concat_ws("|", *text))

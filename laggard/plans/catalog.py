@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.draws import draw
 from ..operators import baseline, clean, early, features, labels, metrics, policy, runtimes, scoring, splits
 from ..operators.quantiles import exact_quantiles
+from ..operators.staging import stage
 from ..sources.tables import activity_trace, item_tasks, order_attributes, order_trace
 from .mart import direct_mart, event_mart
 
@@ -78,16 +79,21 @@ scores AS (
 
 def order_jobs(spark, folder) -> DataFrame:
     """Labelled jobs with size, submit time, priority and template, joined one to one with orders."""
-    jobs = direct_mart(item_tasks(spark, folder), clean=False)
+    jobs = direct_mart(item_tasks(spark, folder), clean=False, template=False)
     own = order_attributes(spark, folder).withColumnsRenamed({"timestamp": "submit_time", "user_name": "template_id"})
     jobs = jobs.select("job_id", "num_tasks", "avg_task_runtime", "max_task_runtime", "std_task_runtime", "is_skewed",
                        "scheduling_class", "cpu_request_std", "memory_request_std", "disk_space_request_std")
     return jobs.join(own.withColumn("submit_time", F.col("submit_time").cast("double")), "job_id")
 
 
-def rule_scores(spark, folder) -> DataFrame:
+def written_jobs(spark, folder) -> DataFrame:
+    """The same table written once, for operators that read it more than once."""
+    return stage(order_jobs(spark, folder))
+
+
+def rule_scores(spark, folder, jobs: DataFrame | None = None) -> DataFrame:
     """Long (model, job) scores: two size rules with many ties, and two seeded draws with none."""
-    jobs = order_jobs(spark, folder)
+    jobs = order_jobs(spark, folder) if jobs is None else jobs
     key, size = F.col("job_id"), F.col("num_tasks")
     rule = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (size - 1) / F.lit(10.0)))
     by_model = {
@@ -320,19 +326,16 @@ b AS (SELECT job_id, len(list_filter(p[2:len(p) - 1], lambda x: x < priority))::
 
 @query(f"WITH {JOBS}{BUCKETS} SELECT * FROM b")
 def quantile_buckets(spark, folder):
-    jobs = order_jobs(spark, folder)
-    return jobs.select(
-        "job_id",
-        splits.quantile_bucket(jobs, "priority").alias("priority_bucket"),
-        splits.quantile_bucket(jobs, "num_tasks").alias("num_tasks_bucket"),
-    )
+    jobs = written_jobs(spark, folder)
+    buckets = splits.quantile_buckets(jobs, ["priority", "num_tasks"])
+    return jobs.select("job_id", *[b.alias(f"{c}_bucket") for c, b in buckets.items()])
 
 
 @query(f"""WITH {JOBS}{BUCKETS}, cls AS (SELECT job_id, scheduling_class, row_number() OVER (PARTITION BY job_id ORDER BY count(*) DESC, scheduling_class) AS r
   FROM items WHERE scheduling_class IS NOT NULL GROUP BY job_id, scheduling_class)
 SELECT job_id, scheduling_class || '|' || priority_bucket || '|' || num_tasks_bucket AS template_id FROM b JOIN cls USING (job_id) WHERE r = 1""")
 def template_id(spark, folder):
-    jobs = order_jobs(spark, folder).select("job_id", F.col("scheduling_class").cast("int"), "priority", "num_tasks")
+    jobs = written_jobs(spark, folder).select("job_id", F.col("scheduling_class").cast("int"), "priority", "num_tasks")
     return splits.add_template_id(jobs).select("job_id", "template_id")
 
 
@@ -410,7 +413,7 @@ RANKED = ", o AS (SELECT *, row_number() OVER (ORDER BY submit_time NULLS LAST,
 
 @query(f"WITH {JOBS}{RANKED} SELECT job_id, CASE WHEN r < floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM o")
 def time_split(spark, folder):
-    return splits.time_split(order_jobs(spark, folder)).select("job_id", "split")
+    return splits.time_split(written_jobs(spark, folder)).select("job_id", "split")
 
 
 FOLDS = RANKED + """, f AS (SELECT *, greatest(1, floor(n * 0.2::DOUBLE)) AS w, greatest(1, floor(n * 0.4::DOUBLE)) AS s, fold
@@ -421,21 +424,21 @@ rolled AS (SELECT job_id, is_skewed, fold, CASE WHEN r < s + fold * w THEN 'trai
 
 @query(f"WITH {JOBS}{FOLDS} SELECT job_id, fold, split FROM rolled")
 def rolling_splits(spark, folder):
-    return splits.rolling_split(order_jobs(spark, folder)).select("job_id", "fold", "split")
+    return splits.rolling_split(written_jobs(spark, folder)).select("job_id", "fold", "split")
 
 
 @query(f"""WITH {JOBS}{FOLDS}, c AS (SELECT fold, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows,
   count(*) FILTER (split = 'train' AND is_skewed = 1) AS train_pos, count(*) FILTER (split = 'test' AND is_skewed = 1) AS test_pos
   FROM rolled GROUP BY fold) SELECT *, train_pos >= 6 AND test_pos > 0 AS valid FROM c""")
 def rolling_fold_validity(spark, folder):
-    return splits.fold_validity(splits.rolling_split(order_jobs(spark, folder)))
+    return splits.fold_validity(splits.rolling_split(written_jobs(spark, folder)))
 
 
 @query(f"""WITH {JOBS}, t AS (SELECT DISTINCT template_id FROM jobs),
 d AS (SELECT template_id, row_number() OVER (ORDER BY {sql_draw(42, 'template_id')}, template_id) AS r, count(*) OVER () AS g FROM t)
 SELECT job_id, template_id, CASE WHEN r <= ceil(0.2::DOUBLE * g) THEN 'test' ELSE 'train' END AS split FROM jobs JOIN d USING (template_id)""")
 def template_split(spark, folder):
-    return splits.template_split(order_jobs(spark, folder)).select("job_id", "template_id", "split")
+    return splits.template_split(written_jobs(spark, folder)).select("job_id", "template_id", "split")
 
 
 STRATA = f""", c AS (SELECT is_skewed, count(*) AS c FROM jobs GROUP BY 1),
@@ -447,18 +450,18 @@ rk AS (SELECT job_id, is_skewed, row_number() OVER (PARTITION BY is_skewed ORDER
 
 @query(f"WITH {JOBS}{STRATA} SELECT job_id, CASE WHEN r < take THEN 'test' ELSE 'train' END AS split FROM rk JOIN al USING (is_skewed)")
 def stratified_split(spark, folder):
-    return splits.stratified_split(order_jobs(spark, folder)).select("job_id", "split")
+    return splits.stratified_split(written_jobs(spark, folder)).select("job_id", "split")
 
 
 @query(f"WITH {JOBS}{STRATA} SELECT job_id, is_skewed FROM rk JOIN al USING (is_skewed) WHERE r < take")
 def calibration_holdout(spark, folder):
-    return splits.calibration_holdout(order_jobs(spark, folder))[1].select("job_id", "is_skewed")
+    return splits.calibration_holdout(written_jobs(spark, folder))[1].select("job_id", "is_skewed")
 
 
 @query(f"""WITH {JOBS}{STRATA} SELECT job_id, ((r >= c * 1 // 5)::INTEGER + (r >= c * 2 // 5)::INTEGER + (r >= c * 3 // 5)::INTEGER
   + (r >= c * 4 // 5)::INTEGER) AS fold FROM rk JOIN c USING (is_skewed)""")
 def cv_folds(spark, folder):
-    return splits.stratified_folds(order_jobs(spark, folder)).select("job_id", "fold")
+    return splits.stratified_folds(written_jobs(spark, folder)).select("job_id", "fold")
 
 
 @query(f"WITH {JOBS} SELECT job_id, num_tasks, is_skewed FROM jobs ORDER BY {sql_draw(42, 'job_id')}, job_id LIMIT 10")
@@ -489,8 +492,8 @@ ec AS (SELECT model, round(sum(CASE WHEN bin < 10 THEN abs(y - p) ELSE 0 END) /
 br AS (SELECT model, round(avg((score - is_skewed) * (score - is_skewed)), 6) AS brier FROM scores GROUP BY model)"""
 
 
-def called(spark, folder) -> DataFrame:
-    return rule_scores(spark, folder).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+def called(spark, folder, jobs: DataFrame | None = None) -> DataFrame:
+    return rule_scores(spark, folder, jobs).withColumn("prediction", (F.col("score") > 0.5).cast("int"))
 
 
 @query(f"WITH {CALLED}{CONF} SELECT * FROM cls")
@@ -547,8 +550,8 @@ m AS (SELECT model, unnest([{{'m': 'accuracy', 'v': (tp + tn) / (tp + fp + fn +
   {{'m': 'f1_score', 'v': CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END}}]) AS x FROM cm)
 SELECT model, x.m AS metric, round(avg(x.v), 6) AS mean, round(stddev_pop(x.v), 6) AS std FROM m GROUP BY 1, 2""")
 def rolling_summary(spark, folder):
-    jobs = splits.rolling_split(order_jobs(spark, folder)).filter("split = 'test'").select("job_id", "fold")
-    rows = called(spark, folder).select("model", "job_id", "label", "prediction").join(jobs, "job_id")
+    tests = splits.rolling_split(written_jobs(spark, folder)).filter("split = 'test'")
+    rows = called(spark, folder, tests)
     per_fold = metrics.long_metrics(metrics.class_metrics(rows, ["model", "fold"]), ["model", "fold"])
     return rounded(metrics.rolling_summary(per_fold), 6, "mean", "std")
 
@@ -563,18 +566,18 @@ best AS (SELECT threshold, f1_score FROM swept ORDER BY f1_score DESC, cut LIMIT
 
 @query(f"WITH {JOBS}{SWEEP} SELECT cut, round(threshold, 6) AS threshold, tp, fp, fn, tn, round(f1_score, 6) AS f1_score FROM swept")
 def baseline_sweep(spark, folder):
-    return rounded(baseline.baseline_sweep(order_jobs(spark, folder)), 6, "threshold", "f1_score")
+    return rounded(baseline.baseline_sweep(written_jobs(spark, folder)), 6, "threshold", "f1_score")
 
 
 @query(f"WITH {JOBS}{SWEEP} SELECT round(threshold, 6) AS threshold, round(f1_score, 6) AS f1_score FROM best")
 def baseline_best_threshold(spark, folder):
-    return rounded(baseline.best_threshold(order_jobs(spark, folder)), 6, "threshold", "f1_score")
+    return rounded(baseline.best_threshold(written_jobs(spark, folder)), 6, "threshold", "f1_score")
 
 
 @query(f"""WITH {JOBS}, m AS (SELECT quantile_cont(num_tasks::DOUBLE, 0.5) AS t FROM jobs)
 SELECT job_id, t AS baseline_threshold, (num_tasks > t)::INTEGER AS baseline_prediction FROM jobs, m""")
 def baseline_median(spark, folder):
-    return baseline.baseline_predict(order_jobs(spark, folder)).select("job_id", "baseline_threshold", "baseline_prediction")
+    return baseline.baseline_predict(written_jobs(spark, folder)).select("job_id", "baseline_threshold", "baseline_prediction")
 
 
 BASE = SWEEP + """, bm AS (SELECT count(*) FILTER (is_skewed = 1 AND num_tasks > threshold) AS tp, count(*) FILTER (is_skewed = 0 AND num_tasks > threshold) AS fp,
@@ -587,14 +590,15 @@ bl AS (SELECT 'baseline' AS model, round((tp + tn) / (tp + fp + fn + tn)::DOUBLE
 
 @query(f"WITH {JOBS}{BASE} SELECT model, accuracy, \"precision\", recall, f1_score, round(threshold, 6) AS threshold FROM bl")
 def baseline_evaluation(spark, folder):
-    return rounded(baseline.evaluate_baseline(order_jobs(spark, folder)), 6, *metrics.CLASS_METRICS, "threshold")
+    return rounded(baseline.evaluate_baseline(written_jobs(spark, folder)), 6, *metrics.CLASS_METRICS, "threshold")
 
 
 @query(f"""WITH {EVALUATED}{BASE} SELECT cls.*, pr_auc, roc_auc, brier, ece FROM cls JOIN rnk USING (model) JOIN br USING (model) JOIN ec USING (model)
 UNION ALL SELECT model, accuracy, "precision", recall, f1_score, NULL, NULL, NULL, NULL FROM bl""")
 def model_comparison(spark, folder):
-    rule = baseline.evaluate_baseline(order_jobs(spark, folder)).drop("threshold")
-    out = metrics.comparison_table(metrics.evaluate_scores(rule_scores(spark, folder)), rule)
+    jobs = written_jobs(spark, folder)
+    rule = baseline.evaluate_baseline(jobs).drop("threshold")
+    out = metrics.comparison_table(metrics.evaluate_scores(rule_scores(spark, folder, jobs)), rule)
     return rounded(out, 6, *metrics.CLASS_METRICS, *metrics.PROBA_METRICS)
 
 
@@ -663,7 +667,7 @@ POLICY = """, co AS (SELECT *, CASE WHEN predicted_skew = 1 AND is_skewed = 1 TH
   WHEN predicted_skew = 1 THEN max_task_runtime * (1 + 0.05::DOUBLE) ELSE max_task_runtime END AS adj FROM pr),
 po AS (SELECT model, cut, count(*) AS jobs, sum(predicted_skew)::BIGINT AS mitigations, sum(is_skewed)::BIGINT AS true_skewed,
   count(*) FILTER (predicted_skew = 1 AND is_skewed = 1) AS true_mitigated, count(*) FILTER (predicted_skew = 1 AND is_skewed = 0) AS false_mitigated,
-  round(sum(max_task_runtime), 2) AS baseline_total, round(sum(adj), 2) AS adjusted_total,
+  round(sum(max_task_runtime), 4) AS baseline_total, round(sum(adj), 4) AS adjusted_total,
   round((sum(max_task_runtime) - sum(adj)) / sum(max_task_runtime), 9) AS relative_improvement FROM co GROUP BY model, cut)"""
 POLICY_COLS = "jobs, mitigations, true_skewed, true_mitigated, false_mitigated, baseline_total, adjusted_total, relative_improvement"
 POLICY_RATES = """round(mitigations / jobs::DOUBLE, 9) AS mitigation_rate, round(true_mitigated / greatest(mitigations, 1)::DOUBLE, 9) AS precision_mitigation,
@@ -672,7 +676,7 @@ POLICY_RATES = """round(mitigations / jobs::DOUBLE, 9) AS mitigation_rate, round
 
 def _policy_digits(df: DataFrame) -> DataFrame:
     rates = [c for c in ("relative_improvement", "mitigation_rate", "precision_mitigation", "recall_on_skew") if c in df.columns]
-    return rounded(rounded(df, 2, "baseline_total", "adjusted_total"), 9, *rates)
+    return rounded(rounded(df, 4, "baseline_total", "adjusted_total"), 9, *rates)
 
 
 @query(f"WITH {SCORES}{CUTS}{POLICY} SELECT {POLICY_COLS} FROM po WHERE model = 'logistic_regression'")
@@ -689,9 +693,8 @@ def policy_comparison(spark, folder):
 @query(f"""WITH {SCORES}{RANKED}, late AS (SELECT job_id FROM o WHERE r >= floor(n * 0.8::DOUBLE)){CUTS.replace('FROM scores s', 'FROM (SELECT * FROM scores WHERE job_id IN (SELECT job_id FROM late)) s')}{POLICY}
 SELECT model, cut AS threshold, {POLICY_COLS}, {POLICY_RATES} FROM po""")
 def policy_on_test_jobs(spark, folder):
-    scores = rule_scores(spark, folder)
-    late = splits.time_split(order_jobs(spark, folder)).filter("split = 'test'").select("job_id")
-    return _policy_digits(policy.compare_policies(scores.join(late, "job_id", "left_semi")))
+    late = splits.time_split(written_jobs(spark, folder)).filter("split = 'test'")
+    return _policy_digits(policy.compare_policies(rule_scores(spark, folder, late)))
 
 
 @query(f"""WITH {SCORES}{RANKED}, dev AS (SELECT job_id, coalesce(stddev_samp(cpu_request), 0) AS c, coalesce(stddev_samp(memory_request), 0) AS m,
@@ -705,6 +708,6 @@ dm AS (SELECT job_id, is_new, score * 0.6::DOUBLE + (num_tasks - a0) / (a1 - a0)
 rk AS (SELECT job_id, is_new, row_number() OVER (ORDER BY demo, is_new, job_id) / count(*) OVER ()::DOUBLE AS pct FROM dm)
 SELECT job_id, CASE WHEN pct <= 1.0::DOUBLE / 3 THEN 'low' WHEN pct <= 2.0::DOUBLE / 3 THEN 'medium' ELSE 'high' END AS prediction_confidence FROM rk WHERE is_new = 1""")
 def history_confidence(spark, folder):
-    jobs = splits.time_split(rule_scores(spark, folder).filter("model = 'xgboost'"))
+    jobs = splits.time_split(rule_scores(spark, folder, written_jobs(spark, folder)).filter("model = 'xgboost'"))
     old, new = jobs.filter("split = 'train'"), jobs.filter("split = 'test'")
     return scoring.history_confidence(new, old).select("job_id", "prediction_confidence")

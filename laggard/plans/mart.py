@@ -12,7 +12,7 @@ from ..operators.runtimes import event_job_stats, extract_runtimes, scale_runtim
 from ..operators.splits import add_template_id
 
 
-def direct_mart(trace: DataFrame, unit: str = "auto", clean: bool = True) -> DataFrame:
+def direct_mart(trace: DataFrame, unit: str = "auto", clean: bool = True, template: bool = True) -> DataFrame:
     """Job mart of a direct-runtime trace.
 
     Features and labels come from the same rows, so one aggregate computes both
@@ -30,7 +30,8 @@ def direct_mart(trace: DataFrame, unit: str = "auto", clean: bool = True) -> Dat
     means = job_means(rows, labels).filter("max_task_runtime IS NOT NULL")
     distincts = job_distincts(rows)
     jobs = finish_features(means if distincts is None else means.join(distincts, "job_id"))
-    return add_template_id(label_jobs(encode_categories(jobs)))
+    jobs = label_jobs(encode_categories(jobs))
+    return add_template_id(jobs) if template else jobs
 
 
 def event_mart(cleaned: DataFrame) -> DataFrame:
