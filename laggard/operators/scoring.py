@@ -79,7 +79,7 @@ def history_confidence(new: DataFrame, history: DataFrame | None = None, arrival
     """Replace ``prediction_confidence`` of new rows by their tertile among history and new rows.
 
     Ties rank by arrival: history before new rows, then the ``arrival`` columns,
-    which must make a row unique within its side.  Only the two tertile cuts
+    which must make a new row unique.  Only the two tertile cuts
     are looked up; no row is ranked one by one.
     """
     require_columns(new, ["skew_probability", *arrival], "predictions")
@@ -100,6 +100,6 @@ def history_confidence(new: DataFrame, history: DataFrame | None = None, arrival
     key = F.struct(*order)
     for name, at in zip(("medium", "low"), reversed(last_of_band(n) if n else [-1, -1])):
         if at in rows:
-            cut = F.struct(*[F.lit(rows[at][c]).alias(c) for c in order])
+            cut = F.struct(*[F.lit(rows[at][c]).cast(scored.schema[c].dataType).alias(c) for c in order])
             band = F.when(key <= cut, name).otherwise(band)
     return scored.filter("_new = 1").withColumn("prediction_confidence", band).drop("_new", "demo_score")

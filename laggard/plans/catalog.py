@@ -6,15 +6,21 @@ in SQL the text sits beside it and is compared row by row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.draws import draw
-from ..operators import baseline, clean, early, features, labels, metrics, policy, runtimes, scoring, splits
+from ..operators import baseline, clean, early, explore, features, labels, metrics, policy, runtimes, scoring, smote, splits, train
+from ..operators.neighbours import nearest
 from ..operators.quantiles import exact_quantiles
-from ..operators.staging import stage
+from ..operators.staging import stage, stage_root
+from ..sources.generate import jobs_for_keys, labelled_columns
 from ..sources.tables import activity_trace, item_tasks, order_attributes, order_trace
+from ..streaming import live
+from . import pipeline
 from .mart import direct_mart, event_mart
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -711,3 +717,248 @@ def history_confidence(spark, folder):
     jobs = splits.time_split(rule_scores(spark, folder, written_jobs(spark, folder)).filter("model = 'xgboost'"))
     old, new = jobs.filter("split = 'train'"), jobs.filter("split = 'test'")
     return scoring.history_confidence(new, old).select("job_id", "prediction_confidence")
+
+
+# ---------------------------------------------------------------- summaries
+
+
+def _describe_sql(by: str, source: str, names: list[str]) -> str:
+    cells = ", ".join(f"{{'c': '{c}', 'x': {c}::DOUBLE}}" for c in names)
+    key = f"{by}, " if by else ""
+    return f"""WITH {JOBS}, u AS (SELECT {key}unnest([{cells}]) AS z FROM {source})
+SELECT {key}z.c AS "column", count(z.x) AS "count", round(avg(z.x), 4) AS mean, round(stddev_samp(z.x), 4) AS std, min(z.x) AS "min", max(z.x) AS "max",
+  round(quantile_cont(z.x, 0.25::DOUBLE), 4) AS p25, round(quantile_cont(z.x, 0.5::DOUBLE), 4) AS p50, round(quantile_cont(z.x, 0.75::DOUBLE), 4) AS p75
+FROM u GROUP BY {key}z.c"""
+
+
+DESCRIBED = ["num_tasks", "max_task_runtime", "priority"]
+DIGITS = ("mean", "std", "p25", "p50", "p75")
+
+
+@query(_describe_sql("", "jobs", DESCRIBED))
+def describe_jobs(spark, folder):
+    return rounded(explore.describe(order_jobs(spark, folder), DESCRIBED), 4, *DIGITS)
+
+
+@query(_describe_sql("is_skewed", "jobs", DESCRIBED))
+def describe_by_label(spark, folder):
+    return rounded(explore.describe(order_jobs(spark, folder), DESCRIBED, ["is_skewed"]), 4, *DIGITS)
+
+
+@query(f"WITH {JOBS} SELECT num_tasks, count(*) AS n FROM jobs GROUP BY num_tasks")
+def size_counts(spark, folder):
+    return explore.value_counts(order_jobs(spark, folder), "num_tasks")
+
+
+@query(f"""WITH {JOBS}, lim AS (SELECT is_skewed, min(max_task_runtime) AS lo, max(max_task_runtime) AS hi, count(*) AS t FROM jobs GROUP BY 1),
+b AS (SELECT j.is_skewed, least(floor((max_task_runtime - lo) / ((hi - lo) / 50)), 49)::INTEGER AS bin, lo, (hi - lo) / 50 AS w, t FROM jobs j JOIN lim USING (is_skewed))
+SELECT is_skewed, bin, round(any_value(lo) + bin * any_value(w), 4) AS "left", count(*) AS n, round(count(*) / (any_value(t) * any_value(w)), 9) AS density
+FROM b GROUP BY is_skewed, bin""")
+def runtime_histogram(spark, folder):
+    out = explore.histogram(written_jobs(spark, folder), "max_task_runtime", "is_skewed")
+    return rounded(rounded(out, 4, "left"), 9, "density")
+
+
+CORR = ["num_tasks", "avg_task_runtime", "max_task_runtime", "std_task_runtime", "priority", "is_skewed"]
+
+
+def _corr_sql(names: list[str]) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 6) AS corr FROM jobs" for a in names for b in names
+    )
+    return f"WITH {JOBS} {rows}"
+
+
+@query(_corr_sql(CORR))
+def correlation_matrix(spark, folder):
+    return rounded(explore.correlations(order_jobs(spark, folder), CORR), 6, "corr")
+
+
+@query(f"WITH {JOBS} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, is_skewed), 6) AS corr FROM jobs" for c in ("num_tasks", "priority")))
+def label_correlations(spark, folder):
+    return rounded(explore.label_correlations(order_jobs(spark, folder), ("num_tasks", "priority")), 6, "corr")
+
+
+BOXED = ["num_tasks", "avg_task_runtime", "max_task_runtime", "std_task_runtime"]
+
+
+@query(f"""WITH {JOBS}, u AS (SELECT is_skewed, unnest([{', '.join(f"{{'c': '{c}', 'x': {c}::DOUBLE}}" for c in BOXED)}]) AS z FROM jobs),
+q AS (SELECT is_skewed, z.c AS c, quantile_cont(z.x, 0.25::DOUBLE) AS q1, quantile_cont(z.x, 0.5::DOUBLE) AS q2, quantile_cont(z.x, 0.75::DOUBLE) AS q3 FROM u GROUP BY 1, 2)
+SELECT u.is_skewed, c AS "column", round(any_value(q1), 4) AS q1, round(any_value(q2), 4) AS median, round(any_value(q3), 4) AS q3,
+  round(min(z.x) FILTER (z.x >= q1 - 1.5::DOUBLE * (q3 - q1) AND z.x <= q3 + 1.5::DOUBLE * (q3 - q1)), 4) AS whisker_low,
+  round(max(z.x) FILTER (z.x >= q1 - 1.5::DOUBLE * (q3 - q1) AND z.x <= q3 + 1.5::DOUBLE * (q3 - q1)), 4) AS whisker_high,
+  count(*) FILTER (z.x < q1 - 1.5::DOUBLE * (q3 - q1) OR z.x > q3 + 1.5::DOUBLE * (q3 - q1)) AS outliers
+FROM u JOIN q ON u.is_skewed = q.is_skewed AND u.z.c = q.c GROUP BY 1, 2""")
+def box_stats(spark, folder):
+    out = explore.box_stats(written_jobs(spark, folder), BOXED)
+    return rounded(out, 4, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
+@query(f"WITH {ITEMS}, {STATS} SELECT job_id, is_skewed, round(avg_task_runtime, 6) AS avg_task_runtime, max_task_runtime, "
+       "round(max_task_runtime / avg_task_runtime, 6) AS max_over_avg FROM labelled")
+def avg_max_points(spark, folder):
+    out = explore.avg_max_points(labels.label_from_runtimes(runtimes.direct_runtimes(item_tasks(spark, folder))))
+    return rounded(out, 6, "avg_task_runtime", "max_over_avg")
+
+
+@query("""SELECT c AS "column", n AS non_null, t AS "rows", k AS type, 6 AS "columns" FROM (
+  SELECT unnest([{'c': 'event_id', 'n': count(event_id), 'k': 'bigint'}, {'c': 'ts', 'n': count(ts), 'k': 'timestamp_ntz'},
+  {'c': 'user_id', 'n': count(user_id), 'k': 'bigint'}, {'c': 'event_type', 'n': count(event_type), 'k': 'string'},
+  {'c': 'value', 'n': count(value), 'k': 'double'}, {'c': 'props', 'n': count(props), 'k': 'string'}], recursive := true), count(*) AS t FROM events)""")
+def table_shape(spark, folder):
+    return explore.shape(spark.read.parquet(f"{folder}/events.parquet"))
+
+
+# ------------------------------------------------- oversampling and learning
+
+# The full sizes are 300 rounds and 200 trees; the catalog's runs are shorter.
+SHORT = {"rounds": 5, "trees": 20}
+
+
+def trained_jobs(spark, folder) -> DataFrame:
+    """Written job mart of the full order trace."""
+    return stage(direct_mart(order_trace(spark, folder)))
+
+
+VEC = "[num_tasks::DOUBLE, scheduling_class, priority, cpu_request_mean, cpu_request_std, memory_request_mean, memory_request_std, disk_space_request_mean, disk_space_request_std, different_machine_constraint_mean]"
+
+
+@query(f"""WITH {FEATS}, {STATS}, p AS (SELECT job_id, {VEC} AS v FROM feats JOIN labelled USING (job_id) WHERE is_skewed = 1),
+d AS (SELECT a.job_id, list_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.job_id <> b.job_id),
+r AS (SELECT job_id, dist, row_number() OVER (PARTITION BY job_id ORDER BY dist) AS nth FROM d)
+SELECT job_id::VARCHAR AS id, nth::INTEGER AS nth, round(dist, 6) AS dist FROM r WHERE nth <= 5""")
+def minority_neighbours(spark, folder):
+    frame = features.training_frame(trained_jobs(spark, folder)).filter("label = 1")
+    points = frame.select(F.col("job_id").alias("id"), vector_to_array("features").alias("vec"), F.lit(1).alias("copies"))
+    return rounded(nearest(points).select("id", "nth", "dist"), 6, "dist")
+
+
+@query(f"WITH {ITEMS}, {STATS}, c AS (SELECT greatest(count(*) FILTER (is_skewed = 1), count(*) FILTER (is_skewed = 0)) AS n FROM labelled) "
+       "SELECT unnest([0, 1]) AS label, n FROM c")
+def smote_balance(spark, folder):
+    out = smote.balance_classes(features.training_frame(trained_jobs(spark, folder)))
+    return out.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
+
+
+def _fitted(spark, folder, name: str) -> DataFrame:
+    """Predictions of one calibrated model on the late jobs, trained on the early ones."""
+    parts = stage(splits.time_split(trained_jobs(spark, folder)))
+    early_jobs, late = (parts.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    model = train.train_models(early_jobs, [name], use_smote=False, **SHORT)[name]
+    out = model.predict(late)
+    return out.select("job_id", "is_skewed", "skew_probability", "predicted_skew", "threshold_used", "prediction_confidence")
+
+
+@query()
+def fit_lr(spark, folder):
+    return _fitted(spark, folder, "logistic_regression")
+
+
+@query()
+def fit_rf(spark, folder):
+    return _fitted(spark, folder, "random_forest")
+
+
+@query()
+def fit_gbt_a(spark, folder):
+    return _fitted(spark, folder, "xgboost")
+
+
+@query()
+def fit_gbt_b(spark, folder):
+    return _fitted(spark, folder, "lightgbm")
+
+
+@query()
+def trained_evaluation(spark, folder):
+    """All four models with oversampling and calibration, evaluated beside the rule baseline."""
+    parts = stage(splits.time_split(trained_jobs(spark, folder)))
+    early_jobs, late = (parts.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    models = train.train_models(early_jobs, use_smote=True, **SHORT)
+    return metrics.comparison_table(train.evaluate_models(models, late), baseline.evaluate_baseline(late).drop("threshold"))
+
+
+@query()
+def feature_importance(spark, folder):
+    frame = features.training_frame(trained_jobs(spark, folder))
+    return train.feature_importance(train.fit_model("random_forest", frame, trees=SHORT["trees"]))
+
+
+@query()
+def cross_validation(spark, folder):
+    return train.cross_validate(trained_jobs(spark, folder), ["logistic_regression"])
+
+
+@query()
+def early_exec_model(spark, folder):
+    """Logistic regression on early-execution features."""
+    rows = runtimes.direct_runtimes(item_tasks(spark, folder))
+    jobs = stage(trained_jobs(spark, folder).join(early.early_features(rows), "job_id"))
+    model = train.train_models(jobs, ["logistic_regression"], mode="early_exec")["logistic_regression"]
+    return model.predict(jobs).select("job_id", "is_skewed", "skew_probability", "predicted_skew")
+
+
+@query()
+def transfer_matrix(spark, folder):
+    """Real jobs and rows generated from their keys, each as training and test source, and both together."""
+    real = trained_jobs(spark, folder)
+    made = stage(real.select(*[c.alias(n) for n, c in labelled_columns(F.col("job_id")).items()]))
+    names = ["job_id", *features.PRE_EXEC_FEATURES, "is_skewed", "submit_time"]
+    origins = {"real": real.withColumn("job_id", F.col("job_id").cast("string")).select(*names), "generated": made.select(*names)}
+    return pipeline.transfer_matrix(origins, ["logistic_regression"], hybrid=("real", "generated"))
+
+
+def _live_sql() -> str:
+    def u(low, high, name):
+        d = sql_draw(0, "o_orderkey").replace("md5('0:'", f"md5('42-{name}:'")
+        return f"({low} + ({high} - {low}) * {d})"
+
+    cols = [f"'LIVE_' || lpad(o_orderkey::VARCHAR, greatest(6, length(o_orderkey::VARCHAR))::INTEGER, '0') AS job_id",
+            f"(5 + floor({u('0.0::DOUBLE', '1.0::DOUBLE', 'tasks')} * 296))::BIGINT AS num_tasks",
+            f"floor({u('0.0::DOUBLE', '1.0::DOUBLE', 'class')} * 4)::DOUBLE AS scheduling_class",
+            f"round({u('1.0::DOUBLE', '450.0::DOUBLE', 'priority')}, 9) AS priority"]
+    for name, low, high, least in (("cpu_request", 0.1, 2.5, 0.01), ("memory_request", 0.1, 3.0, 0.01), ("disk_space_request", 0.05, 2.0, 0.005)):
+        mean = u(f"{low}::DOUBLE", f"{high}::DOUBLE", name)
+        cols += [f"round({mean}, 9) AS {name}_mean", f"round({u(f'{least}::DOUBLE', f'({mean} * 0.5::DOUBLE)', name + '-std')}, 9) AS {name}_std"]
+    pick = u("0.0::DOUBLE", "1.0::DOUBLE", "constraint")
+    cols.append(f"([0.0, 0.1, 0.2, 0.3, 0.5]::DOUBLE[])[floor({pick} * 5)::INTEGER + 1] AS different_machine_constraint_mean")
+    return "SELECT " + ", ".join(cols) + " FROM orders"
+
+
+@query(_live_sql())
+def generate_jobs(spark, folder):
+    """One generated job row per order, drawn from the order's key."""
+    made = jobs_for_keys(spark.read.parquet(f"{folder}/orders.parquet"), "o_orderkey")
+    return rounded(made, 9, *[c for c in made.columns if c.endswith(("_mean", "_std", "priority")) and "constraint" not in c])
+
+
+@query(f"WITH {SCORES}{CUTS} SELECT job_id::VARCHAR AS job_id, predicted_skew, round(score, 9) AS skew_probability, cut AS threshold_used, conf AS prediction_confidence FROM pr WHERE model = 'logistic_regression'")
+def live_scoring(spark, folder):
+    """The job mart replayed as arriving files and scored by a stream; the result is the stream's output."""
+    jobs = trained_jobs(spark, folder).select(F.col("job_id").cast("string"), *features.PRE_EXEC_FEATURES)
+    inbox, out, mark = (f"{stage_root(spark)}/laggard/{uuid.uuid4().hex}" for _ in range(3))
+    jobs.repartition(4).write.parquet(inbox)
+
+    def predict(rows: DataFrame) -> DataFrame:
+        rule = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("num_tasks") - 1) / F.lit(10.0)))
+        return scoring.add_predictions(rows.withColumn("skew_probability", rule), "logistic_regression")
+
+    rows = live.live_source(spark, inbox, "parquet", jobs.schema, files_per_batch=2)
+    live.score_stream(rows, predict, out, mark, mode=live.ABSOLUTE, trigger={"availableNow": True}).awaitTermination()
+    columns = ["job_id", "predicted_skew", "skew_probability", "threshold_used", "prediction_confidence"]
+    return rounded(spark.read.parquet(out).select(*columns), 9, "skew_probability")
+
+
+@query()
+def live_history_scoring(spark, folder):
+    """The same stream with history-relative confidence."""
+    jobs = trained_jobs(spark, folder).select(F.col("job_id").cast("string"), *features.PRE_EXEC_FEATURES)
+    inbox, out, mark = (f"{stage_root(spark)}/laggard/{uuid.uuid4().hex}" for _ in range(3))
+    jobs.repartition(3).write.parquet(inbox)
+
+    def predict(rows: DataFrame) -> DataFrame:
+        return scoring.add_predictions(rows.withColumn("skew_probability", draw(7, F.col("job_id"))), "xgboost")
+
+    rows = live.live_source(spark, inbox, "parquet", jobs.schema, files_per_batch=1)
+    live.score_stream(rows, predict, out, mark, trigger={"availableNow": True}).awaitTermination()
+    return spark.read.parquet(out).select("job_id", "skew_probability", "prediction_confidence")
