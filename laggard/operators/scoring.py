@@ -66,7 +66,8 @@ PROBABILITY_WEIGHT = 0.60
 def history_score(rows: DataFrame) -> DataFrame:
     """Add ``demo_score``: the probability mixed with submit features scaled over all ``rows``."""
     value = {c: F.coalesce(number(rows, c), F.lit(0.0)) for c in HISTORY_WEIGHTS if c in rows.columns}
-    bounds = rows.agg(*[f(v).alias(f"{f.__name__}_{c}") for c, v in value.items() for f in (F.min, F.max)]).first()
+    limits = [x for c, v in value.items() for x in (F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}"))]
+    bounds = rows.agg(*limits).first() if limits else {}
     score = F.coalesce(number(rows, "skew_probability"), F.lit(0.0)) * PROBABILITY_WEIGHT
     for c, v in value.items():
         low, high = bounds[f"min_{c}"], bounds[f"max_{c}"]
