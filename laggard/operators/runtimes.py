@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.coerce import ID_ALIASES, alias_columns, coerce_numbers, number
 from ..schemas import FINISH, SUBMIT, require_columns
@@ -32,6 +32,8 @@ def direct_runtimes(df: DataFrame, unit: str = "auto") -> DataFrame:
     """Positive runtimes from ``duration``, else from ``end_time - start_time``."""
     df = alias_columns(df, ID_ALIASES)
     if "duration" in df.columns:
+        if isinstance(df.schema["duration"].dataType, T.NumericType):
+            df = df.filter(F.col("duration") > 0)  # on the bare column, so that the scan can use it
         df = df.withColumn("runtime", number(df, "duration"))
     else:
         require_columns(df, ["start_time", "end_time"], "direct trace")

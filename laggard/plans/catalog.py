@@ -119,17 +119,17 @@ def rule_scores(spark, folder, jobs: DataFrame | None = None) -> DataFrame:
 
 
 @query(f"WITH {ITEMS}, {STATS} SELECT job_id, round(avg_task_runtime, 6) AS avg_task_runtime, max_task_runtime, "
-       "round(std_task_runtime, 6) AS std_task_runtime FROM stats")
+       "round(std_task_runtime, 4) AS std_task_runtime FROM stats")
 def job_runtime_stats(spark, folder):
     out = labels.job_runtime_stats(runtimes.direct_runtimes(item_tasks(spark, folder)))
-    return rounded(out, 6, "avg_task_runtime", "std_task_runtime")
+    return rounded(rounded(out, 6, "avg_task_runtime"), 4, "std_task_runtime")
 
 
 @query(f"WITH {ITEMS}, {STATS} SELECT job_id, round(avg_task_runtime, 6) AS avg_task_runtime, max_task_runtime, "
-       "round(std_task_runtime, 6) AS std_task_runtime, is_skewed FROM labelled")
+       "round(std_task_runtime, 4) AS std_task_runtime, is_skewed FROM labelled")
 def skew_labels(spark, folder):
     out = labels.label_from_runtimes(runtimes.direct_runtimes(item_tasks(spark, folder)))
-    return rounded(out, 6, "avg_task_runtime", "std_task_runtime")
+    return rounded(rounded(out, 6, "avg_task_runtime"), 4, "std_task_runtime")
 
 
 @query(f"""WITH {ITEMS}, {STATS} SELECT count(*) AS total_jobs, count(*) FILTER (is_skewed = 1) AS skewed_jobs,
@@ -226,11 +226,11 @@ def task_runtimes_event(spark, folder):
 
 
 @query(f"""WITH {EVENTS}, st AS (SELECT job_id, avg(runtime) AS a, max(runtime) AS m, coalesce(stddev_samp(runtime), 0) AS s
-  FROM pairs GROUP BY job_id) SELECT job_id, round(a, 3) AS avg_task_runtime, m AS max_task_runtime, round(s, 1) AS std_task_runtime,
+  FROM pairs GROUP BY job_id) SELECT job_id, round(a, -3) AS avg_task_runtime, m AS max_task_runtime, round(s, -3) AS std_task_runtime,
   (m >= 2 * a)::INTEGER AS is_skewed FROM st""")
 def event_skew_labels(spark, folder):
     out = labels.label_jobs(runtimes.event_job_stats(clean.clean_events(activity_trace(spark, folder))))
-    return rounded(rounded(out, 3, "avg_task_runtime"), 1, "std_task_runtime")
+    return rounded(out, -3, "avg_task_runtime", "std_task_runtime")
 
 
 @query(f"""WITH {ITEMS}, cl AS (SELECT * FROM items WHERE job_id IS NOT NULL AND job_id >= 0)
@@ -285,9 +285,9 @@ def pre_exec_features(spark, folder):
 
 
 @query(f"WITH {FEATS}, {STATS} SELECT {FEAT_COLS}, round(avg_task_runtime, 6) AS avg_task_runtime, max_task_runtime, "
-       "round(std_task_runtime, 6) AS std_task_runtime, is_skewed, user_name AS template_id FROM feats JOIN labelled USING (job_id)")
+       "round(std_task_runtime, 4) AS std_task_runtime, is_skewed, user_name AS template_id FROM feats JOIN labelled USING (job_id)")
 def job_mart(spark, folder):
-    return rounded(direct_mart(order_trace(spark, folder)), 6, *MEANS, "avg_task_runtime", "std_task_runtime")
+    return rounded(rounded(direct_mart(order_trace(spark, folder)), 6, *MEANS, "avg_task_runtime"), 4, "std_task_runtime")
 
 
 @query(f"""WITH {EVENTS}, sub AS (SELECT * FROM cleaned WHERE event_type = 0),
@@ -307,11 +307,11 @@ def event_job_mart(spark, folder):
 
 
 @query(f"""WITH {ITEMS} SELECT job_id, count(*) AS num_tasks, round(avg(duration), 6) AS avg_task_runtime, max(duration) AS max_task_runtime,
-  round(coalesce(stddev_samp(duration), 0), 6) AS std_task_runtime,
+  round(coalesce(stddev_samp(duration), 0), 4) AS std_task_runtime,
   arg_min(scheduling_class, (end_time, scheduling_class))::DOUBLE AS scheduling_class, 0.0::DOUBLE AS priority FROM items GROUP BY job_id""")
 def aggregate_job_level(spark, folder):
     rows = runtimes.direct_runtimes(item_tasks(spark, folder))
-    return rounded(features.aggregate_job_level(rows, "end_time"), 6, "avg_task_runtime", "std_task_runtime")
+    return rounded(rounded(features.aggregate_job_level(rows, "end_time"), 6, "avg_task_runtime"), 4, "std_task_runtime")
 
 
 @query(f"""WITH {ITEMS}, p AS (SELECT quantile_cont(cpu_request, 0.99::DOUBLE) AS c, quantile_cont(memory_request, 0.99::DOUBLE) AS m,
@@ -396,20 +396,20 @@ ranked AS (SELECT job_id, duration, row_number() OVER (PARTITION BY job_id ORDER
   count(*) OVER (PARTITION BY job_id) AS n FROM items WHERE duration > 0),
 cut AS (SELECT * FROM ranked, ks WHERE rn <= least(n, greatest(5, ceil(k * n)::BIGINT)))
 SELECT job_id, {key}count(*) AS early_num_tasks, round(avg(duration), 6) AS early_avg_task_runtime,
-  max(duration) AS early_max_task_runtime, round(stddev_pop(duration), 6) AS early_std_task_runtime FROM cut GROUP BY job_id{group}"""
+  max(duration) AS early_max_task_runtime, round(stddev_pop(duration), 4) AS early_std_task_runtime FROM cut GROUP BY job_id{group}"""
 
 
 @query("WITH " + EARLY.format(ks="[0.1]", key="", group=""))
 def early_features(spark, folder):
     out = early.early_features(runtimes.direct_runtimes(item_tasks(spark, folder)))
-    return rounded(out, 6, "early_avg_task_runtime", "early_std_task_runtime")
+    return rounded(rounded(out, 6, "early_avg_task_runtime"), 4, "early_std_task_runtime")
 
 
 @query("WITH " + EARLY.format(ks="[0.05, 0.1, 0.2, 0.5, 1.0]", key="k, ", group=", k"))
 def early_features_sweep(spark, folder):
     rows = runtimes.direct_runtimes(item_tasks(spark, folder))
     out = early.early_features_sweep(rows, (0.05, 0.1, 0.2, 0.5, 1.0))
-    return rounded(out, 6, "early_avg_task_runtime", "early_std_task_runtime")
+    return rounded(rounded(out, 6, "early_avg_task_runtime"), 4, "early_std_task_runtime")
 
 
 # ------------------------------------------------------------------- splits
