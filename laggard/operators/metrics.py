@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordered import with_running_sums
+from .staging import stage
 
 CLASS_METRICS = ("accuracy", "precision", "recall", "f1_score")
 PROBA_METRICS = ("pr_auc", "roc_auc", "brier", "ece")
@@ -103,51 +104,71 @@ def calibration_error(
     return bins.groupBy(*by).agg((F.sum(gap) / F.sum("_n")).alias("ece"))
 
 
+def score_steps(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Positives and negatives per distinct score, counted map-side: all the metrics need."""
+    y = F.col("label") == 1
+    return df.groupBy(*by, "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+
+
+def _ranked_steps(steps: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Steps with the positives (``tp``) and negatives (``fp``) at or above each score.
+
+    The running sums are cut into ranges, so a model with billions of distinct
+    scores is not sorted in one task.
+    """
+    return with_running_sums(steps, by, [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
+
+
+def _step_sums() -> dict[str, Column]:
+    tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
+    return {
+        "_ap": F.sum(pos * tp / (tp + fp)),
+        "_area": F.sum(neg * (tp - pos / 2)),
+        "_pos": F.sum(pos),
+        "_neg": F.sum(neg),
+    }
+
+
+def _areas(ap: Column, area: Column, pos: Column, neg: Column) -> dict[str, Column]:
+    """NULL where a class is missing."""
+    return {"pr_auc": ratio(ap, pos, None), "roc_auc": ratio(area, pos * neg, None)}
+
+
 def ranking_metrics(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Average precision (step sum) and area under the ROC curve (ties as one step).
 
-    Scores are counted map-side; running sums over the distinct scores are cut
-    into ranges, so a model with billions of distinct scores is not sorted in
-    one task.  With one class only the result is NULL.
+    With one class only the result is NULL.
     """
-    y = F.col("label") == 1
-    steps = df.groupBy(*by, "score").agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    run = with_running_sums(steps, by, [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
-    tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "pos", "neg"))
-    sums = run.groupBy(*by).agg(
-        F.sum(pos * tp / (tp + fp)).alias("_ap"),
-        F.sum(neg * (tp - pos / 2)).alias("_area"),
-        F.sum(pos).alias("_p"),
-        F.sum(neg).alias("_n"),
-    )
-    both = (F.col("_p") > 0) & (F.col("_n") > 0)
-    return sums.select(
-        *by,
-        F.when(F.col("_p") > 0, F.col("_ap") / F.nullif(F.col("_p"), F.lit(0.0))).alias("pr_auc"),
-        F.when(both, F.col("_area") / F.nullif(F.col("_p") * F.col("_n"), F.lit(0.0))).alias("roc_auc"),
-    )
+    sums = _ranked_steps(score_steps(df, by), by).groupBy(*by).agg(*[v.alias(k) for k, v in _step_sums().items()])
+    areas = _areas(*[F.col(c) for c in ("_ap", "_area", "_pos", "_neg")])
+    return sums.select(*by, *[v.alias(k) for k, v in areas.items()])
 
 
 def evaluate_scores(df: DataFrame, by: Sequence[str] = ("model",), cut: float = 0.5) -> DataFrame:
-    """All metrics of every model, one row per group; the class prediction is ``score > cut``."""
+    """All metrics of every model, one row per group; the class prediction is ``score > cut``.
+
+    The scores are read once: every metric follows from the counts per distinct score.
+    """
     by = list(by)
-    df = df.withColumn("prediction", (F.col("score") > F.lit(float(cut))).cast("int"))
-    gap = F.col("score") - F.col("label")
-    bins = df.withColumn("_bin", probability_bin(F.col("score"))).groupBy(*by, "_bin").agg(
-        *[c.alias(k) for k, c in _confusion("label", "prediction").items()],
-        F.sum(gap * gap).alias("_sq"),
-        F.sum(F.col("label").cast("double")).alias("_y"),
-        F.sum("score").alias("_p"),
-        F.count("*").alias("_n"),
-    )
-    n = F.sum("_n")
-    miss = F.when(F.col("_bin") < 10, F.abs(F.col("_y") - F.col("_p"))).otherwise(0.0)
-    scores = _class_scores(*[F.sum(c) for c in ("tp", "fp", "fn", "tn")])
-    point = bins.groupBy(*by).agg(
-        *[v.alias(k) for k, v in scores.items()], (F.sum("_sq") / n).alias("brier"), (F.sum(miss) / n).alias("ece")
+    pos, neg, score = F.col("pos"), F.col("neg"), F.col("score")
+    called = score > F.lit(float(cut))
+    bins = _ranked_steps(score_steps(df, by), by).groupBy(*by, probability_bin(score).alias("_bin")).agg(
+        *[v.alias(k) for k, v in _step_sums().items()],
+        F.sum(F.when(called, pos).otherwise(0)).alias("_tp"),
+        F.sum(F.when(called, neg).otherwise(0)).alias("_fp"),
+        F.sum(pos * (score - 1) * (score - 1) + neg * score * score).alias("_sq"),
+        F.sum(score * (pos + neg)).alias("_p"),
     )
-    both = point.join(ranking_metrics(df, by), by)
-    return both.select(*by, *CLASS_METRICS, *PROBA_METRICS)
+    miss = F.when(F.col("_bin") < 10, F.abs(F.col("_pos") - F.col("_p"))).otherwise(0.0)
+    sums = {c: F.sum(c) for c in ("_ap", "_area", "_pos", "_neg", "_tp", "_fp")}
+    tp, fp, p, n = sums["_tp"], sums["_fp"], sums["_pos"], sums["_neg"]
+    out = {
+        **_class_scores(tp, fp, p - tp, n - fp),
+        **_areas(sums["_ap"], sums["_area"], p, n),
+        "brier": F.sum("_sq") / (p + n),
+        "ece": F.sum(miss) / (p + n),
+    }
+    return bins.groupBy(*by).agg(*[out[c].alias(c) for c in (*CLASS_METRICS, *PROBA_METRICS)])
 
 
 def long_metrics(wide: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -233,25 +254,33 @@ def sweep_counts(cells: DataFrame, by: Sequence[str], n_cuts: int) -> DataFrame:
     )
 
 
-def threshold_sweep(df: DataFrame, by: Sequence[str] = ("model",), steps: int = 100) -> DataFrame:
-    """tp/fp/fn/tn, precision, recall and F1 for every cut i/steps, predicting where score >= cut."""
-    by = list(by)
-    passed = passed_cuts(F.col("score"), F.lit(0.0), F.lit(1.0 / steps), F.lit(1.0), steps, inclusive=True)
-    y = F.col("label") == 1
-    cells = df.groupBy(*by, passed.alias("passed")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    swept = sweep_counts(cells, by, steps + 1)
-    threshold = F.when(F.col("cut") >= steps, F.lit(1.0)).otherwise(F.col("cut") * F.lit(1.0 / steps))
+def _sweep_steps(steps: DataFrame, by: list[str], n: int) -> DataFrame:
+    passed = passed_cuts(F.col("score"), F.lit(0.0), F.lit(1.0 / n), F.lit(1.0), n, inclusive=True)
+    cells = steps.groupBy(*by, passed.alias("passed")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    swept = sweep_counts(cells, by, n + 1)
+    threshold = F.when(F.col("cut") >= n, F.lit(1.0)).otherwise(F.col("cut") * F.lit(1.0 / n))
     scores = _class_scores(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])
     return swept.select(*by, threshold.alias("threshold"), "tp", "fp", "fn", "tn", *[scores[m].alias(m) for m in CLASS_METRICS])
 
 
+def threshold_sweep(df: DataFrame, by: Sequence[str] = ("model",), steps: int = 100) -> DataFrame:
+    """tp/fp/fn/tn, precision, recall and F1 for every cut i/steps, predicting where score >= cut.
+
+    Rows are counted per cut interval map-side; only those counts are shuffled.
+    """
+    y = F.col("label") == 1
+    rows = df.select(*by, "score", y.cast("int").alias("pos"), (~y).cast("int").alias("neg"))
+    return _sweep_steps(rows, list(by), steps)
+
+
 def best_thresholds(df: DataFrame, by: Sequence[str] = ("model",), steps: int = 100, min_recall: float = 0.8) -> DataFrame:
     """Per model: AP and ROC area, the best-F1 cut, and the best-F1 cut that keeps recall at ``min_recall``.
 
     The first cut wins a tie for best F1, the highest cut a tie under the recall bound.
     """
     by = list(by)
-    swept = threshold_sweep(df, by, steps)
+    counts = stage(score_steps(df, by))
+    swept = _sweep_steps(counts, by, steps)
     row = F.struct("threshold", "f1_score", "precision", "recall")
     first = F.struct(F.col("f1_score"), -F.col("threshold"))
     enough = F.col("recall") >= min_recall
@@ -268,4 +297,6 @@ def best_thresholds(df: DataFrame, by: Sequence[str] = ("model",), steps: int =
         F.col("b.recall").alias("recall_recall_ge"),
         F.col("b.f1_score").alias("f1_recall_ge"),
     )
-    return ranking_metrics(df, by).join(flat, by)
+    sums = _ranked_steps(counts, by).groupBy(*by).agg(*[v.alias(k) for k, v in _step_sums().items()])
+    areas = _areas(*[F.col(c) for c in ("_ap", "_area", "_pos", "_neg")])
+    return sums.select(*by, *[v.alias(k) for k, v in areas.items()]).join(flat, by)

@@ -10,19 +10,32 @@ from ..functions.coerce import number
 from .staging import stage
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+# Distinct values one task may hold; beyond them the values are cut into ranges.
+FEW_VALUES = 500_000
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), few_values: int = FEW_VALUES
+) -> DataFrame:
     """Long frame (by..., column, prob, value) with linear interpolation; NULLs are ignored.
 
-    Equal values are counted map-side first, the distinct values are
-    range-partitioned, and only the partitions in which a wanted rank falls are
-    sorted.  ``percentile`` would hold every distinct value of a column in one
-    task instead.
+    Equal values are counted map-side first.  When a count shows that few
+    distinct values are left, ``percentile`` with frequencies finishes the work.
+    It holds every distinct value of a column in one task, so a larger set is
+    range-partitioned instead, and only the partitions in which a wanted rank
+    falls are sorted.
     """
     by = list(by)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("value")) for c in columns])
     long = df.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.column", "_p.value")
     keys = [*by, "column"]
     counted = long.filter(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("cnt"))
+    counted = stage(counted)
+    if counted.count() <= few_values:
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        at = counted.groupBy(*keys).agg(F.percentile("value", wanted, F.col("cnt")).alias("at"))
+        pairs = F.arrays_zip(wanted.alias("prob"), F.col("at").alias("value"))
+        return at.select(*keys, F.explode(pairs).alias("_q")).select(*keys, "_q.prob", "_q.value")
     cells = stage(counted.repartitionByRange(*keys, "value").withColumn("_pid", F.spark_partition_id()))
 
     group = Window.partitionBy(*keys)

@@ -84,7 +84,7 @@ def event_job_stats(df: DataFrame, hot_rows: int = HOT_TASK_ROWS) -> DataFrame:
     For a finish at f with k earlier submits of sum S1 and square sum S2 the
     pairs add k, k*f - S1 and k*f^2 - 2*f*S1 + S2, so running sums over each
     task's events give the totals in linear work.  Tasks with over ``hot_rows``
-    distinct event times are cut into ranges.
+    events are cut into ranges.
     """
     df = alias_columns(df, ID_ALIASES)
     events = df.filter(F.col("event_type").isin(SUBMIT, FINISH)).filter(
@@ -104,7 +104,7 @@ def event_job_stats(df: DataFrame, hot_rows: int = HOT_TASK_ROWS) -> DataFrame:
         upto = Window.partitionBy(*TASK).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
         return part.withColumns({dst: F.sum(src).over(upto) for dst, src in sums.items()})
 
-    hot = hot_keys(moments, TASK, hot_rows)
+    hot = hot_keys(events, TASK, hot_rows)
     if hot is None:
         run = windowed(moments)
     else:

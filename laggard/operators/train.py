@@ -111,10 +111,9 @@ def estimator(name: str, weight_sum: float, rounds: int | None = None, trees: in
 
 def fit_model(name: str, frame: DataFrame, mode: str = "pre_exec", **sizes) -> SkewModel:
     """Fit one classifier on a (features, label) frame with balanced class weights."""
-    weighted, _, total = class_weights(frame)
+    weighted, ratio, total = class_weights(frame)
     if name == "xgboost":
-        # Only positives are scaled here, by neg / pos, as the boosted model A does.
-        _, ratio, _ = class_weights(frame)
+        # Only positives are scaled here, by neg / pos.
         weighted = frame.withColumn("weight", F.when(F.col("label") == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
     return SkewModel(name, estimator(name, total, **sizes).fit(weighted), None, mode)
 

@@ -737,12 +737,12 @@ DIGITS = ("mean", "std", "p25", "p50", "p75")
 
 @query(_describe_sql("", "jobs", DESCRIBED))
 def describe_jobs(spark, folder):
-    return rounded(explore.describe(order_jobs(spark, folder), DESCRIBED), 4, *DIGITS)
+    return rounded(explore.describe(written_jobs(spark, folder), DESCRIBED), 4, *DIGITS)
 
 
 @query(_describe_sql("is_skewed", "jobs", DESCRIBED))
 def describe_by_label(spark, folder):
-    return rounded(explore.describe(order_jobs(spark, folder), DESCRIBED, ["is_skewed"]), 4, *DIGITS)
+    return rounded(explore.describe(written_jobs(spark, folder), DESCRIBED, ["is_skewed"]), 4, *DIGITS)
 
 
 @query(f"WITH {JOBS} SELECT num_tasks, count(*) AS n FROM jobs GROUP BY num_tasks")

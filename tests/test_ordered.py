@@ -51,15 +51,16 @@ def test_running_sums_without_groups(spark):
     assert all(r["s"] == 2 * (500 - r["id"]) for r in got)
 
 
-def test_quantiles(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_quantiles(spark, few):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 2000), "a": rng.integers(0, 20, 2000).astype(float), "b": rng.random(2000)})
     pdf.loc[pdf.index % 10 == 0, "b"] = np.nan
     df = spark.createDataFrame(pdf)
     probs = [0.0, 0.2, 0.5, 0.77, 1.0]
-    for r in exact_quantiles(df, ["a", "b"], probs).collect():
+    for r in exact_quantiles(df, ["a", "b"], probs, few_values=few).collect():
         assert r["value"] == pytest.approx(pdf[r["column"]].quantile(r["prob"]))
-    rows = exact_quantiles(df, ["a", "b"], probs, ["g"]).collect()
+    rows = exact_quantiles(df, ["a", "b"], probs, ["g"], few_values=few).collect()
     assert len(rows) == 3 * 2 * len(probs)
     for r in rows:
         assert r["value"] == pytest.approx(pdf[pdf.g == r["g"]][r["column"]].quantile(r["prob"]))
