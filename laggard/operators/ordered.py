@@ -64,14 +64,23 @@ def keys_at(
     return total, {where[r["_pid"], r["_idx"]]: r for r in rows.filter(hit).collect()}
 
 
+# Rows one task may sort; beyond them the order is cut into ranges.
+FEW_ROWS = 500_000
+
+
 def with_running_sums(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: dict[str, str]
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: dict[str, str], few_rows: int = FEW_ROWS
 ) -> DataFrame:
     """Add inclusive running sums within each group: ``{new column: summed column}``.
 
-    ``groups`` + ``order`` must be unique and the group columns not NULL.
+    ``groups`` + ``order`` must be unique and the group columns not NULL.  Up to
+    ``few_rows`` rows in all, counted beforehand, a plain window does.
     """
     groups = list(groups)
+    df = stage(df)
+    if df.count() <= few_rows:
+        upto = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({dst: F.sum(src).over(upto) for dst, src in sums.items()})
     rows = stage(df.repartitionByRange(*groups, *order).withColumn("_pid", F.spark_partition_id()))
     parts = rows.groupBy("_pid", *groups).agg(*[F.sum(src).alias(f"_c_{dst}") for dst, src in sums.items()])
     by_part = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_pid")

@@ -22,10 +22,14 @@ def scale_runtimes(df: DataFrame, unit: str = "auto") -> DataFrame:
     """
     if unit not in ("auto", "us", "s"):
         raise ValueError(f"Unknown runtime unit: {unit}")
+    if unit == "s":
+        return df
+    seconds = F.col("runtime") / 1e6
     if unit == "auto":
-        largest = df.agg(F.max("runtime")).first()[0]
-        unit = "us" if largest is not None and largest > MICROS_CUTOFF else "s"
-    return df.withColumn("runtime", F.col("runtime") / 1e6) if unit == "us" else df
+        # A scalar subquery: the maximum is found when the plan runs, not while it is built.
+        largest = df.agg(F.max("runtime")).scalar()
+        seconds = F.when(largest > MICROS_CUTOFF, seconds).otherwise(F.col("runtime"))
+    return df.withColumn("runtime", seconds)
 
 
 def direct_runtimes(df: DataFrame, unit: str = "auto") -> DataFrame:
@@ -108,7 +112,7 @@ def event_job_stats(df: DataFrame, hot_rows: int = HOT_TASK_ROWS) -> DataFrame:
     if hot is None:
         run = windowed(moments)
     else:
-        ranged = with_running_sums(moments.join(hot, TASK, "left_semi"), TASK, [F.col("t")], sums)
+        ranged = with_running_sums(moments.join(hot, TASK, "left_semi"), TASK, [F.col("t")], sums, hot_rows)
         run = windowed(moments.join(hot, TASK, "left_anti")).unionByName(ranged)
 
     # Submits at the very time of the finish give runtime 0 and do not count.

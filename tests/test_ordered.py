@@ -34,9 +34,10 @@ def test_keys_at(spark):
     assert keys_at(df.filter("k < 0"), [F.col("k")], lambda n: [0]) == (0, {})
 
 
-def test_running_sums(lopsided):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_running_sums(lopsided, few):
     counted = lopsided.groupBy("job_id", "end_time").agg(F.count("*").alias("n"))
-    got = with_running_sums(counted, ["job_id"], [F.col("end_time")], {"upto": "n"}).toPandas()
+    got = with_running_sums(counted, ["job_id"], [F.col("end_time")], {"upto": "n"}, few).toPandas()
     want = counted.toPandas().sort_values(["job_id", "end_time"])
     want["upto"] = want.groupby("job_id")["n"].cumsum()
     pd.testing.assert_frame_equal(
@@ -45,9 +46,10 @@ def test_running_sums(lopsided):
     )
 
 
-def test_running_sums_without_groups(spark):
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_running_sums_without_groups(spark, few):
     df = spark.range(500).select("id", F.lit(2).alias("w"))
-    got = with_running_sums(df, [], [F.col("id").desc()], {"s": "w"}).collect()
+    got = with_running_sums(df, [], [F.col("id").desc()], {"s": "w"}, few).collect()
     assert all(r["s"] == 2 * (500 - r["id"]) for r in got)
 
 
