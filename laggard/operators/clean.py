@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.coerce import ID_ALIASES, alias_columns, coerce_numbers, number
-from ..schemas import DIRECT_MARKERS
+from ..schemas import DIRECT_MARKERS, require_columns
+from .early import sequential_index
 from .quantiles import approx_medians, quantile_values
 
 IMPUTED = ("cpu_request", "memory_request", "disk_space_request", "priority", "scheduling_class")
@@ -120,9 +121,6 @@ def prepare_for_aggregation(df: DataFrame, order_cols=()) -> DataFrame:
 
     A missing ``task_index`` is numbered per job along ``order_cols``.
     """
-    from .early import sequential_index
-    from ..schemas import require_columns
-
     df = alias_columns(df, ID_ALIASES)
     require_columns(df, ["job_id", "runtime"], "task runtimes")
     if "task_index" not in df.columns:

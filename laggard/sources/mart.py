@@ -21,11 +21,6 @@ def read_mart(spark: SparkSession, path: str, fmt: str = "parquet", schema=None)
     return reader.format(fmt).load(path)
 
 
-def write_bucketed_mart(jobs: DataFrame, name: str, buckets: int, key: str = "job_id") -> None:
-    """Save the job table bucketed and sorted by job, so later joins on the job need no shuffle."""
-    jobs.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-
-
 def write_comparison(table: DataFrame, path: str) -> None:
     """Write a small result table as one CSV file with a header."""
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
