@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, urls, warc
+from . import mixing, simhash, urls, warc
 from .text import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,13 @@ def op7_url_filter(spark, folder):
     listed = pages.filter(urls.url_host(F.col("url")).rlike(rf"(^|\.)({_LABELS})\."))
     judged = urls.filter_urls(pages, listed, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# ------------------------------------------------------------------ 3: SimHash
+
+
+@query()
+def op3_simhash(spark, folder):
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
