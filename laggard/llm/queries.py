@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, simhash, urls, warc
+from . import embeddings, mixing, simhash, substrings, urls, warc
 from .text import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,21 @@ def op3_simhash(spark, folder):
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------- 6: embedding near-duplicates
+
+
+@query()
+def op6_embedding_dedup(spark, folder):
+    """Links and component of every vector at cosine 0.95."""
+    return embeddings.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
+# ------------------------------------------------------ 9: substring dedup
+
+
+@query()
+def op9_substring_dedup(spark, folder):
+    """Words of every document that a window of 13 words repeats from an earlier one."""
+    return substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), window=13, texts=False)
