@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, mixing, simhash, substrings, urls, warc
-from .text import word_count
+from . import decontaminate, embeddings, langid, mixing, simhash, substrings, urls, warc
+from .text import crc_remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,33 @@ def op6_embedding_dedup(spark, folder):
 def op9_substring_dedup(spark, folder):
     """Words of every document that a window of 13 words repeats from an earlier one."""
     return substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), window=13, texts=False)
+
+
+# ------------------------------------------------ 4: benchmark decontamination
+
+
+@query()
+def op4_decontamination(spark, folder):
+    """Every test item found in a document, with at most 10% of its characters edited."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, folder, "benchmark"))
+
+
+# ------------------------------------------------------------- 8: language ID
+
+LANG_FOLDS = 5
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the labelled documents outside the held-out fold."""
+    known = docs.select("doc_id", "text", "lang").filter(crc_remainder(F.col("doc_id"), LANG_FOLDS) != 0)
+    return langid.train(langid.training_windows(known))
+
+
+@query()
+def op8_language_id(spark, folder):
+    """Predicted language of every document."""
+    docs = table(spark, folder, "documents")
+    found = langid.language(F.col("text"), language_model(docs))
+    rows = docs.select("doc_id", (crc_remainder(F.col("doc_id"), LANG_FOLDS) == 0).alias("held_out"), found.alias("found"))
+    return rows.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
