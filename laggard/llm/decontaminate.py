@@ -22,10 +22,11 @@ Tables without rows give no matches.  Extra columns are kept by ``decontaminated
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 ERROR_RATE = 0.1
@@ -146,7 +147,7 @@ class Matcher:
         yield lo, hi
 
 
-def _blocks(benchmark: DataFrame, rate: float, block_bytes: int) -> list[Column]:
+def _blocks(benchmark: DataFrame, rate: float, block_bytes: int) -> list[Callable[[Column], Column]]:
     """For each block of items, a function of the text that lists the matches."""
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
@@ -156,18 +157,18 @@ def _blocks(benchmark: DataFrame, rate: float, block_bytes: int) -> list[Column]
     for b in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct()
         rows = sorted((r["item_id"], normalised(r["text"])) for r in part.filter("item_id IS NOT NULL").collect())
-        held = spark.sparkContext.broadcast(rows)
+        out.append(_finder(spark.sparkContext.broadcast(rows), rate))
+    return out
 
-        @F.pandas_udf(MATCHES)
-        def found(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            matcher = Matcher(held.value, rate)
-            for batch in batches:
-                yield pd.Series([
-                    [dict(zip(("item_id", "distance", "start", "end"), m)) for m in matcher.matches(t)] for t in batch
-                ])
 
-        out.append(found)
-    return out
+def _finder(items: Broadcast, rate: float) -> Callable[[Column], Column]:
+    @F.pandas_udf(MATCHES)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(items.value, rate)
+        for batch in batches:
+            yield pd.Series([[dict(zip(("item_id", "distance", "start", "end"), m)) for m in matcher.matches(t)] for t in batch])
+
+    return found
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
