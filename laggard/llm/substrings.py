@@ -24,7 +24,6 @@ processed whole.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.staging import stage
+from .tables import Table, free_shuffles
 
 NO_ID = (1 << 63) - 1
 SHORTEST = 7
@@ -177,12 +176,6 @@ def _cut(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc", "tag", "n_removed", "kept_sha256", "kept_text"])
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans nobody holds any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and, if asked for, ``kept_text`` for every row.
 
@@ -190,39 +183,48 @@ def remove_repeats(docs: DataFrame, window: int = 13, texts: bool = True) -> Dat
     """
     lengths = ladder(window)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    survey = stage(rows.mapInPandas(
+    survey = Table(rows.mapInPandas(
         lambda it: _survey(it, lengths), "doc long, n_words long, digest string, tag int, marks array<long>"
     ))
-    base = survey.select("doc", "n_words", "digest", "tag")
+    base = survey.rows.select("doc", "n_words", "digest", "tag")
     # A later copy of a whole text goes as a whole; only first copies are searched.
     originals = base.groupBy("digest").agg(F.min("doc").alias("first"))
-    base = stage(base.join(originals, "digest"))
-    marks = survey.select("doc", F.explode("marks").alias("h"))
-    repeated = marks.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h")
-    repeated = stage(repeated)
-    _free(docs)
-    alive = marks.join(repeated, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("alive"))
+    base = Table(base.join(originals, "digest")).rows
+    marks = survey.rows.select("doc", F.explode("marks").alias("h"))
+    repeated = Table(marks.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("h"))
+    free_shuffles(docs)
+    alive = marks.join(repeated.rows, "h", "left_semi").groupBy("doc").agg(F.collect_list("h").alias("alive"))
     searched = base.filter("doc = first").select("doc").distinct()
-    alive = stage(alive.join(searched, "doc").withColumn("tags", F.array().cast("array<int>")))
+    alive = Table(alive.join(searched, "doc").withColumn("tags", F.array().cast("array<int>")))
+    survey.drop()
+    repeated.drop()
     for k, (before, n) in enumerate(zip(lengths, lengths[1:])):
-        _free(docs)
-        found = rows.join(alive, "doc").mapInPandas(
+        free_shuffles(docs)
+        found = Table(rows.join(alive.rows, "doc").mapInPandas(
             lambda it, n=n, before=before, k=k: _merged(_windows(it, n, before, k == 0)), "doc long, tag int, at int, h long, g int"
-        )
-        found = stage(found)
-        _free(docs)
-        again = found.groupBy("h", "g").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b")
-        last = n == window
-        hits = found.join(again, ["h", "g"]).filter(F.col("a") < F.col("doc") if last else F.lit(True))
-        starts = hits.groupBy("doc").agg(F.collect_list("at").alias("alive"), F.collect_list("tag").alias("tags"))
-        alive = stage(starts)
-    _free(docs)
-    marked = alive.withColumnRenamed("alive", "starts")
+        ))
+        alive.drop()
+        free_shuffles(docs)
+        again = Table(found.rows.groupBy("h", "g").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").drop("b"))
+        free_shuffles(docs)
+        # Tag and place travel as one number.
+        packed = F.shiftleft(F.col("tag").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+        hits = found.rows.select("doc", "h", "g", packed.alias("where")).join(again.rows, ["h", "g"])
+        hits = hits.filter(F.col("a") < F.col("doc") if n == window else F.lit(True)).select("doc", "where")
+        place = lambda w: w.bitwiseAND(0xFFFFFFFF).cast("int")
+        starts = hits.groupBy("doc").agg(F.collect_list("where").alias("where"))
+        alive = Table(starts.select(
+            "doc", F.transform("where", place).alias("alive"), F.transform("where", lambda w: F.shiftright(w, 32).cast("int")).alias("tags")
+        ))
+        found.drop()
+        again.drop()
+    free_shuffles(docs)
+    marked = alive.rows.withColumnRenamed("alive", "starts")
     schema = "doc long, tag int, n_removed long, kept_sha256 string, kept_text string"
     cut = rows.join(marked, "doc").mapInPandas(lambda it: _cut(it, window), schema)
-    cut = cut if texts else cut.drop("kept_text")
-    cut = stage(cut).dropDuplicates(["doc", "tag"])
-    _free(docs)
+    cut = Table(cut if texts else cut.drop("kept_text")).rows.dropDuplicates(["doc", "tag"])
+    alive.drop()
+    free_shuffles(docs)
     whole = (F.col("doc") > F.col("first")) & (F.col("n_words") >= window)
     out = base.join(cut, ["doc", "tag"], "left").select(
         F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_words",
