@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, langid, mixing, simhash, substrings, urls, warc
+from . import decontaminate, embeddings, langid, mixing, simhash, substrings, toxicity, urls, warc
 from .text import crc_remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,19 @@ def op8_language_id(spark, folder):
     found = langid.language(F.col("text"), language_model(docs))
     rows = docs.select("doc_id", (crc_remainder(F.col("doc_id"), LANG_FOLDS) == 0).alias("held_out"), found.alias("found"))
     return rows.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
+# ---------------------------------------------------------------- 5: toxicity
+
+TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_CUT = 4, 2, 0.3
+
+
+@query()
+def op5_toxicity(spark, folder):
+    """Toxicity score of every document."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    fold = crc_remainder(F.col("doc_id"), TOXIC_FOLDS)
+    known = labels.select("doc_id", "toxic").filter(fold != TOXIC_HELD_OUT)
+    model = toxicity.train(*toxicity.labelled_texts(docs, known))
+    rows = docs.select("doc_id", (fold == TOXIC_HELD_OUT).alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= TOXIC_CUT).cast("int"))
