@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, langid, mixing, simhash, substrings, toxicity, urls, warc
+from . import decontaminate, embeddings, langid, mixing, pii, simhash, substrings, toxicity, urls, warc
 from .text import crc_remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,15 @@ def op5_toxicity(spark, folder):
     model = toxicity.train(*toxicity.labelled_texts(docs, known))
     rows = docs.select("doc_id", (fold == TOXIC_HELD_OUT).alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= TOXIC_CUT).cast("int"))
+
+
+# -------------------------------------------------------------------- 10: PII
+
+
+@query()
+def op10_pii(spark, folder):
+    """Identifiers and revealing terms in every document."""
+    found = pii.find_spans(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.span_list(*pii.KINDS), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.span_list(*pii.KINDS, "term").alias("spans"))
