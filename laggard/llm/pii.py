@@ -165,7 +165,7 @@ def find_spans(docs: DataFrame, few_terms: int = FEW_TERMS, **thresholds) -> Dat
     n = revealing.agg(F.sum(F.size("_terms"))).first()[0] or 0
     side = F.broadcast(revealing) if n <= few_terms else revealing
     rows = docs.withColumn("_key", text_key(F.col("text")))
-    rows = rows.join(side, rows["_key"] == side["key"], "left").drop("_key", "key")
+    rows = rows.join(side.withColumnRenamed("key", "_same"), F.col("_key") == F.col("_same"), "left").drop("_key", "_same")
     marked = identifiers(rows)
     known = F.map_contains_key
     body = F.coalesce(F.col("text"), F.lit(""))

@@ -191,3 +191,11 @@ def op10_pii(spark, folder):
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(pii.span_list(*pii.KINDS), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, pii.span_list(*pii.KINDS, "term").alias("spans"))
+
+
+@query()
+def pipeline(spark, folder):
+    """All stages of ``corpus_pipeline`` over the documents."""
+    import corpus_pipeline  # imports the operators, so not before them
+
+    return corpus_pipeline.run(spark, folder)
