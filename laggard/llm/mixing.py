@@ -170,8 +170,7 @@ def mix_sources(
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per use, sorted by position: ``epoch`` counts the passes over a document from 0."""
-    added = [c for c in ADDED if c not in ("size",)]
-    rest = [c for c in mixed.columns if c not in added]
+    rest = [c for c in mixed.columns if c not in ("taken", "uses", "position")]
     uses = mixed.select(*rest, F.posexplode("uses").alias("epoch", "_use"))
     flat = uses.select(*rest, "epoch", "_use.position", F.col("_use.words").alias("words"))
     return flat.repartitionByRange("position").sortWithinPartitions("position")
