@@ -28,13 +28,13 @@ from ..operators.staging import stage
 
 SIZES = (4, 5, 6)
 BUCKET_BITS = 22
-PASSAGE = 32
+PASSAGE = 8
 DIMENSIONS = 8
 PER_CLASS = 800  # toxic texts; twice as many clean ones
 LONGEST = 4_000
 ROUNDS = 70
 STEP = 4.0
-DECAY = 0.002
+DECAY = 0.005
 MIN_TEXTS = 5
 _BATCH_BYTES = 1 << 20
 
