@@ -12,8 +12,21 @@ RESOURCE_KEYS = {
 }
 
 # A whole mapping literal; the JSON reader alone would also take a prefix.
-_MAPPING = r"^\{.*\}$"
-_NONE = r"(:\s*)None(?=\s*[,}])"
+_MAPPING = r"(?s)^\{.*\}$"
+# Literal forms that JSON spells otherwise, in the order they are rewritten.
+_AS_JSON = (
+    (r"(:\s*)None(?=\s*[,}])", "$1null"),
+    (r"(:\s*)True(?=\s*[,}])", "$1 1.0"),
+    (r"(:\s*)False(?=\s*[,}])", "$1 0.0"),
+    (r"(?<=[\[(,])(\s*)(?:None|True|False)(?=\s*[,\])])", "$1null"),  # inside a sequence, which is no number anyway
+    (r"\(\s*([^(),'\"]*)\s*\)", "$1"),  # one scalar in parentheses is that scalar
+    (r"\(", "["),
+    (r"\)", "]"),
+    (r",(\s*[}\]])", "$1"),
+    (r"(?<=[:\[,\s+-])\.(?=[0-9])", "0."),
+    (r"(?<=[0-9])\.(?=\s*[,}\]]|[eE])", ".0"),
+    (r"(:\s*)\+(?=[0-9])", "$1"),
+)
 
 
 def resource_requests(text: Column) -> dict[str, Column]:
@@ -24,7 +37,10 @@ def resource_requests(text: Column) -> dict[str, Column]:
     gives NULL for all three.
     """
     body = F.trim(text)
-    as_json = F.when(body.rlike(_MAPPING), F.regexp_replace(body, _NONE, "$1null"))
+    json = body
+    for form, other in _AS_JSON:
+        json = F.regexp_replace(json, form, other)
+    as_json = F.when(body.rlike(_MAPPING), json)
     entries = F.from_json(as_json, "map<string,string>", {"allowSingleQuotes": "true"})
 
     def value(first: str, second: str) -> Column:

@@ -14,15 +14,19 @@ IMPUTED = ("cpu_request", "memory_request", "disk_space_request", "priority", "s
 
 def _not_negative(df: DataFrame, name: str) -> Column:
     """``name >= 0``; kept on the bare column for whole numbers, so that the scan can use it."""
-    whole = isinstance(df.schema[name].dataType, T.IntegralType)
-    return (F.col(name) if whole else number(df, name)) >= 0
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType) and name == "job_id":
+        # An id may be a name; only numbers can be negative.
+        return F.coalesce(number(df, name) >= 0, F.lit(True))
+    return (F.col(name) if isinstance(kind, T.IntegralType) else number(df, name)) >= 0
 
 
 def _event_rules(df: DataFrame) -> list[tuple[str, Column]]:
     """Row rules of the event format, in the order they apply."""
     rules = []
     if "missing_info" in df.columns:
-        rules.append(("missing_info", F.col("missing_info").try_cast("double") == 0))
+        whole = isinstance(df.schema["missing_info"].dataType, T.IntegralType)
+        rules.append(("missing_info", (F.col("missing_info") if whole else number(df, "missing_info")) == 0))
     rules += [
         ("null_id", F.col("job_id").isNotNull() & F.col("task_index").isNotNull()),
         ("negative_id", _not_negative(df, "job_id") & _not_negative(df, "task_index")),
@@ -57,13 +61,18 @@ def clean_events(df: DataFrame, approx: bool = False) -> DataFrame:
     """
     for _, rule in _event_rules(df):
         df = df.filter(rule)
+    df = _numeric_ids(df, drop_negative=False)
     return impute_medians(df, approx=approx).filter(_valid_event(df))
 
 
 def _canonical_id(column: str) -> Column:
-    """One text form per numeric id, so that '7', '07' and '7.0' are one job."""
-    whole = F.col(column).try_cast("bigint").cast("string")
-    return F.coalesce(whole, F.col(column).try_cast("double").cast("bigint").cast("string"), F.col(column))
+    """One text form per whole-number id, so that '7', '07' and '7.0' are one job; other ids stay as they are."""
+    text = F.trim(column)
+    whole = F.when(text.rlike(r"^[+-]?[0-9]+(\.0*)?$"), F.regexp_replace(text, r"\.0*$", ""))
+    spelled = F.col(column).try_cast("double")
+    # Exponents: doubles up to 2^53 are whole numbers exactly.
+    spelled = F.when((spelled == F.floor(spelled)) & (F.abs(spelled) <= float(1 << 53)), spelled)
+    return F.coalesce(whole.try_cast("decimal(38,0)").cast("string"), spelled.try_cast("bigint").cast("string"), F.col(column))
 
 
 def _numeric_ids(df: DataFrame, drop_negative: bool) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.coerce import number
 from ..schemas import PRE_EXEC_FEATURES
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, join_groups
 from .staging import stage
 
 CORRELATED = (
@@ -51,7 +51,7 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     names = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
     q = exact_quantiles(df, columns, QUARTILES, by)
     quartiles = q.groupBy(*by, "column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in names.items()])
-    return basics.join(quartiles, [*by, "column"], "left")
+    return join_groups(basics, quartiles, [*by, "column"], "left")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -59,31 +59,29 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, by: str, bins: int = 50) -> DataFrame:
-    """Density histogram whose ``bins`` equal bins span each group's own range.
+    """Density histogram whose ``bins`` equal bins span each group's own range; empty bins have 0 rows.
 
-    The ranges come from one small aggregate; it joins back on the group, so
-    the rows are only counted, never moved.
+    Bin i holds what is at or above edge i and below the next edge, the last
+    bin its upper edge too; the edges are ``lo + i * width``.  Equal values are
+    counted first, so that what joins the groups' ranges is distinct values.
     """
     rows = df.select(F.col(by).alias("_g"), number(df, column).alias("_x")).filter("_x IS NOT NULL AND _g IS NOT NULL")
-    limits = rows.groupBy("_g").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("n"))
-    found = limits.limit(1001).collect()
-    if len(found) > 1000:
-        raise ValueError(f"{by} has too many values for a histogram per value")
-    table = F.create_map(*[x for r in found for x in (F.lit(r["_g"]), F.struct(F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi"), F.lit(r["n"]).alias("n")))])
-    if not found:
-        empty = rows.select(F.col("_g").alias(by), F.lit(0).alias("bin"), F.lit(0.0).alias("left"), F.lit(1).cast("bigint").alias("n"), F.lit(0.0).alias("density"))
-        return empty.limit(0)
-    own = F.element_at(table, F.col("_g"))
-    width = F.when(own["hi"] > own["lo"], (own["hi"] - own["lo"]) / bins).otherwise(F.lit(1.0 / bins))
-    start = F.when(own["hi"] > own["lo"], own["lo"]).otherwise(own["lo"] - 0.5)
-    nth = F.least(F.floor((F.col("_x") - start) / width), F.lit(bins - 1)).cast("int")
-    counted = rows.select("_g", nth.alias("bin")).groupBy("_g", "bin").agg(F.count("*").alias("n"))
-    return counted.select(
-        F.col("_g").alias(by),
-        "bin",
-        (start + F.col("bin") * width).alias("left"),
-        "n",
-        (F.col("n") / (own["n"] * width)).alias("density"),
+    seen = rows.groupBy("_g", "_x").agg(F.count("*").alias("m"))
+    limits = rows.groupBy("_g").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("*").alias("total"))
+    flat = F.col("hi") <= F.col("lo")
+    limits = limits.select(
+        "_g", "total",
+        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(flat, F.lit(1.0 / bins)).otherwise((F.col("hi") - F.col("lo")) / bins).alias("width"),
+    )
+    edge = lambda i: F.col("lo") + i * F.col("width")
+    guess = F.greatest(F.lit(0), F.least(F.floor((F.col("_x") - F.col("lo")) / F.col("width")), F.lit(bins - 1))).cast("int")
+    nth = F.when((guess < bins - 1) & (F.col("_x") >= edge(guess + 1)), guess + 1).when((guess > 0) & (F.col("_x") < edge(guess)), guess - 1).otherwise(guess)
+    counted = seen.join(limits, "_g").groupBy("_g", nth.alias("bin")).agg(F.sum("m").alias("n"))
+    every = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return every.join(counted, ["_g", "bin"], "left").select(
+        F.col("_g").alias(by), "bin", edge(F.col("bin")).alias("left"), n.alias("n"), (n / (F.col("total") * F.col("width"))).alias("density")
     )
 
 
@@ -119,14 +117,15 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: str = "is_skewed") -> D
     rows = df.select(by, F.explode(pairs).alias("_p")).select(by, "_p.column", "_p.x").filter("x IS NOT NULL")
     # Equal values are counted first, so the join sees distinct values only and
     # never a group's raw rows.
-    seen = rows.groupBy(by, "column", "x").agg(F.count("*").alias("m")).join(reach, [by, "column"])
+    seen = rows.groupBy(by, "column", "x").agg(F.count("*").alias("m"))
+    seen = join_groups(seen, reach, [by, "column"])
     inside = (F.col("x") >= F.col("_lo")) & (F.col("x") <= F.col("_hi"))
     ends = seen.groupBy(by, "column").agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("m"))).alias("outliers"),
     )
-    return box.join(ends, [by, "column"])
+    return join_groups(box, ends, [by, "column"])
 
 
 def avg_max_points(jobs: DataFrame) -> DataFrame:

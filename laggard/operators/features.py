@@ -93,7 +93,7 @@ def pre_exec_features(df: DataFrame, check_empty: bool = False) -> DataFrame:
     """One row per job with the submit-time features, ``submit_time`` and ``user_name``."""
     rows = submit_rows(df)
     if check_empty and rows.isEmpty():
-        raise ValueError("No submit events found to build pre-execution features.")
+        raise ValueError("the trace has no submit rows, so there is nothing to build features from")
     means, distincts = job_means(rows), job_distincts(rows)
     return finish_features(means if distincts is None else means.join(distincts, "job_id"))
 
@@ -136,7 +136,7 @@ def aggregate_job_level(df: DataFrame, order_col: str | None = None) -> DataFram
         aggs.append(first.alias("scheduling_class"))
     if "priority" in have:
         aggs.append(F.avg(F.when(ok, F.coalesce(number(df, "priority"), F.lit(0.0)))).alias("priority"))
-    jobs = df.groupBy("job_id").agg(*aggs)
+    jobs = df.filter("job_id IS NOT NULL").groupBy("job_id").agg(*aggs)
     jobs = jobs.withColumns({c: F.lit(0.0) for c in ("scheduling_class", "priority") if c not in have})
     return jobs.filter("num_tasks > 0 AND avg_task_runtime > 0 AND max_task_runtime > 0")
 

@@ -46,9 +46,11 @@ def class_metrics(df: DataFrame, by: Sequence[str] = ("model",), label="label",
 
 
 def confusion_matrix(df: DataFrame, by: Sequence[str] = (), label="label", prediction="prediction") -> DataFrame:
-    return df.groupBy(*by, F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
-        F.count("*").alias("n")
-    )
+    """All four cells per group, those without rows too."""
+    counts = df.groupBy(*by).agg(*[c.alias(k) for k, c in _confusion(label, prediction).items()])
+    cells = {"tp": (1, 1), "fp": (0, 1), "fn": (1, 0), "tn": (0, 0)}
+    rows = [F.struct(F.lit(y).alias("label"), F.lit(p).alias("prediction"), F.col(k).alias("n")) for k, (y, p) in cells.items()]
+    return counts.select(*by, F.explode(F.array(*rows)).alias("_c")).select(*by, "_c.*")
 
 
 def brier_score(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
+from .quantiles import join_groups
 from .staging import BROADCAST_ROWS, stage
 
 _IDX_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -73,7 +74,7 @@ def with_running_sums(
 ) -> DataFrame:
     """Add inclusive running sums within each group: ``{new column: summed column}``.
 
-    ``groups`` + ``order`` must be unique and the group columns not NULL.  Up to
+    ``groups`` + ``order`` must be unique; NULL is a group of its own.  Up to
     ``few_rows`` rows in all, counted beforehand, a plain window does.
     """
     groups = list(groups)
@@ -95,7 +96,7 @@ def with_running_sums(
     )
     local = Window.partitionBy("_pid", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumns({dst: F.sum(src).over(local) for dst, src in sums.items()})
-    out = summed.join(F.broadcast(carries), ["_pid", *groups], "left")
+    out = join_groups(summed, F.broadcast(carries), ["_pid", *groups], "left")
     out = out.withColumns({dst: F.col(dst) + F.coalesce(f"_c_{dst}", F.lit(0)) for dst in sums})
     return out.drop("_pid", *[f"_c_{dst}" for dst in sums])
 

@@ -14,16 +14,21 @@ from .staging import stage
 FEW_VALUES = 500_000
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of one name in which NULL equals NULL."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), few_values: int = FEW_VALUES
 ) -> DataFrame:
     """Long frame (by..., column, prob, value) with linear interpolation; NULLs are ignored.
 
-    Equal values are counted map-side first.  When a count shows that few
-    distinct values are left, ``percentile`` with frequencies finishes the work.
-    It holds every distinct value of a column in one task, so a larger set is
-    range-partitioned instead, and only the partitions in which a wanted rank
-    falls are sorted.
+    Equal values are counted map-side first and range-partitioned; only the
+    partitions in which a wanted rank falls are sorted.  When a count shows that
+    few distinct values are left, each group is one range.
     """
     by = list(by)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("value")) for c in columns])
@@ -32,11 +37,10 @@ def exact_quantiles(
     counted = long.filter(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("cnt"))
     counted = stage(counted)
     if counted.count() <= few_values:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        at = counted.groupBy(*keys).agg(F.percentile("value", wanted, F.col("cnt")).alias("at"))
-        pairs = F.arrays_zip(wanted.alias("prob"), F.col("at").alias("value"))
-        return at.select(*keys, F.explode(pairs).alias("_q")).select(*keys, "_q.prob", "_q.value")
-    cells = stage(counted.repartitionByRange(*keys, "value").withColumn("_pid", F.spark_partition_id()))
+        # One range per group: the same ranks and the same interpolation as below.
+        cells = counted.withColumn("_pid", F.lit(0))
+    else:
+        cells = stage(counted.repartitionByRange(*keys, "value").withColumn("_pid", F.spark_partition_id()))
 
     group = Window.partitionBy(*keys)
     parts = cells.groupBy(*keys, "_pid").agg(F.sum("cnt").alias("part"))
@@ -57,7 +61,7 @@ def exact_quantiles(
     hits = hits if by else F.broadcast(hits)
 
     in_part = Window.partitionBy(*keys, "prob", "want").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    seen = cells.join(hits, [*keys, "_pid"]).withColumn("upto", F.sum("cnt").over(in_part) + F.col("before"))
+    seen = join_groups(cells, hits, [*keys, "_pid"]).withColumn("upto", F.sum("cnt").over(in_part) + F.col("before"))
     ends = (
         seen.filter("upto > want AND upto - cnt <= want")
         .groupBy(*keys, "prob", "pos")

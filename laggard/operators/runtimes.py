@@ -135,11 +135,17 @@ def event_job_stats(df: DataFrame, hot_rows: int = HOT_TASK_ROWS) -> DataFrame:
     jobs = tasks.filter("pairs > 0").groupBy("job_id").agg(
         F.sum("pairs").alias("runtimes"),
         F.sum("total").alias("_total"),
-        F.sum("squares").cast("double").alias("_squares"),
+        F.sum("squares").alias("_squares"),
         F.max("longest").cast("double").alias("max_task_runtime"),
     )
-    mean = F.col("_total").cast("double") / F.col("runtimes")
-    spread = F.greatest(F.col("_squares") - F.col("runtimes") * mean * mean, F.lit(0.0))
+    # Squared gaps to the whole part m of the mean are exact: squares - 2 m total + n m m.
+    # What is left of the mean is below 1, so that doubles do from here on.
+    n = F.col("runtimes").cast("decimal(18,0)")
+    m = F.floor(F.col("_total") / n).cast("decimal(20,0)")
+    gaps = F.col("_squares") - (2 * m * F.col("_total")).cast(wide) + (n * (m * m).cast(wide)).cast(wide)
+    rest = (F.col("_total") - (n * m).cast(wide)).cast("double") / F.col("runtimes")
+    mean = m.cast("double") + rest
+    spread = F.greatest(gaps.cast("double") - F.col("runtimes") * rest * rest, F.lit(0.0))
     return jobs.select(
         "job_id",
         mean.alias("avg_task_runtime"),

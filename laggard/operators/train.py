@@ -158,7 +158,7 @@ def train_models(
             except Exception as error:
                 if name not in ("xgboost", "lightgbm"):
                     raise
-                print(f"Skipping {name}: {error}")
+                print(f"{name} could not be fitted and is left out: {error}")
     finally:
         frame.unpersist()
         if held is not None:

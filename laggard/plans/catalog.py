@@ -10,15 +10,19 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.coerce import micros
 from ..functions.draws import draw
 from ..operators import baseline, clean, early, explore, features, labels, metrics, policy, runtimes, scoring, smote, splits, train
 from ..operators.neighbours import nearest
+from ..operators.ordered import with_running_sums
 from ..operators.quantiles import exact_quantiles
 from ..operators.staging import stage, stage_root
+from ..schemas import EVENT13
 from ..sources.generate import jobs_for_keys, labelled_columns
-from ..sources.tables import activity_trace, item_tasks, order_attributes, order_trace
+from ..sources.trace import read_trace
+from ..sources.tables import EVENT_CODES, activity_trace, item_tasks, order_attributes, order_trace
 from ..streaming import live
 from . import pipeline
 from .mart import direct_mart, event_mart
@@ -219,6 +223,79 @@ def cleaning_report(spark, folder):
     return clean.cleaning_report(activity_trace(spark, folder))
 
 
+ROUGH = EVENTS.replace("0 AS missing_info, user_id AS job_id,", "0 AS missing_info, user_id,").replace(
+    'SELECT "timestamp", missing_info, job_id, k % 10 AS task_index, event_type,',
+    """SELECT CASE WHEN k % 31 = 0 THEN -"timestamp" ELSE "timestamp" END AS "timestamp",
+         CASE WHEN k % 13 = 0 THEN 1 WHEN k % 17 <> 0 THEN 0 END AS missing_info,
+         CASE WHEN k % 23 = 0 THEN -user_id - 1 WHEN k % 19 <> 0 THEN user_id END AS job_id, k % 10 AS task_index,
+         CASE WHEN k % 29 = 0 THEN 99 ELSE event_type END AS event_type,""",
+)
+
+
+@query(f"WITH {ROUGH} SELECT {CLEAN_COLS} FROM cleaned")
+def clean_rough_events(spark, folder):
+    """Cleaning of events of which every row rule drops some."""
+    return clean.clean_events(activity_trace(spark, folder, rough=True)).drop("missing_info")
+
+
+@query(f"""WITH {ROUGH}, s AS (SELECT coalesce(missing_info = 0, false) AS a, job_id IS NOT NULL AND task_index IS NOT NULL AS b,
+  coalesce(job_id >= 0 AND task_index >= 0, false) AS c, coalesce("timestamp" >= 0, false) AS d, coalesce(event_type BETWEEN 0 AND 8, false) AS e FROM acts)
+SELECT count(*) AS rows_before, count(*) FILTER (NOT a) AS removed_missing_info, count(*) FILTER (a AND NOT b) AS removed_null_id,
+  count(*) FILTER (a AND b AND NOT c) AS removed_negative_id, count(*) FILTER (a AND b AND c AND NOT d) AS removed_negative_time,
+  count(*) FILTER (a AND b AND c AND d AND NOT e) AS removed_unknown_event, count(*) FILTER (a AND b AND c AND d AND e) AS rows_after,
+  round((1 - count(*) FILTER (a AND b AND c AND d AND e) / count(*)::DOUBLE) * 100, 6) AS pct_removed FROM s""")
+def cleaning_report_rough(spark, folder):
+    return clean.cleaning_report(activity_trace(spark, folder, rough=True))
+
+
+def as_csv(df: DataFrame, header: bool = True) -> str:
+    """Folder of CSV files with the rows, as another program might have left them."""
+    path = f"{stage_root(df.sparkSession)}/laggard/{uuid.uuid4().hex}"
+    df.write.option("header", header).csv(path)
+    return path
+
+
+@query("""WITH raw AS (SELECT epoch_us(ts) AS t, user_id, event_type, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k FROM events)
+SELECT 'job_' || user_id AS job_id, k % 10 AS task_index, t AS "timestamp", CASE WHEN k % 11 > 0 THEN (k % 4)::DOUBLE END AS priority,
+  CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 3 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 5 END AS event_type FROM raw""")
+def csv_event_trace(spark, folder):
+    """An event log with shuffled columns, names as job ids, whole numbers written 3.0, and broken fields."""
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    rows = spark.read.parquet(f"{folder}/events.parquet").select(k.alias("k"), "user_id", "ts", "event_type")
+    code = F.create_map(*[F.lit(x) for pair in EVENT_CODES.items() for x in pair])
+    trace = rows.select(
+        F.element_at(code, F.col("event_type")).alias("event_type"), F.concat(F.lit("job_"), "user_id").alias("job_id"),
+        F.when(F.col("k") % 11 == 0, F.lit("broken")).otherwise((F.col("k") % 4).cast("string")).alias("priority"),
+        micros(F.col("ts")).alias("timestamp"), F.concat((F.col("k") % 10).cast("string"), F.lit(".0")).alias("task_index"),
+    )
+    return read_trace(spark, as_csv(trace)).select("job_id", "task_index", "timestamp", "priority", "event_type")
+
+
+@query(f"WITH {EVENTS} SELECT job_id::VARCHAR AS job_id, task_index, \"timestamp\", 0 AS missing_info, event_type, priority, scheduling_class FROM acts")
+def csv_headerless_trace(spark, folder):
+    """An event log without a header whose whole numbers are written 3.0."""
+    have = activity_trace(spark, folder)
+    point = ("missing_info", "task_index", "event_type", "scheduling_class")
+    columns = [
+        (F.concat(F.col(c).cast("string"), F.lit(".0")) if c in point else F.col(c) if c in have.columns else F.lit(None).cast("string")).alias(c)
+        for c in EVENT13.names
+    ]
+    back = read_trace(spark, as_csv(have.select(*columns), header=False))
+    return back.select("job_id", "task_index", "timestamp", "missing_info", "event_type", "priority", "scheduling_class")
+
+
+@query("""SELECT CASE WHEN l_partkey % 19 = 0 THEN l_orderkey || '.5' ELSE l_orderkey::VARCHAR END AS job_id, l_linenumber::BIGINT AS task_index,
+  l_extendedprice AS runtime FROM lineitem""")
+def csv_direct_trace(spark, folder):
+    """A direct trace whose ids come as 7, 7.0 and 7.5: the first two are one job."""
+    key = F.col("l_orderkey").cast("string")
+    name = F.when(F.col("l_partkey") % 19 == 0, F.concat(key, F.lit(".5"))).when(F.col("l_partkey") % 2 == 0, F.concat(key, F.lit(".0"))).otherwise(key)
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(
+        F.col("l_extendedprice").alias("duration"), name.alias("collection_id"), F.col("l_linenumber").alias("instance_index"))
+    back = clean.clean_trace(read_trace(spark, as_csv(rows)))
+    return runtimes.extract_runtimes(back).select("job_id", "task_index", "runtime")
+
+
 @query(f"WITH {EVENTS} SELECT job_id || '_' || task_index AS task_id, job_id, task_index, start_time, scheduling_class, priority, "
        "end_time, runtime FROM pairs")
 def task_runtimes_event(spark, folder):
@@ -226,11 +303,39 @@ def task_runtimes_event(spark, folder):
 
 
 @query(f"""WITH {EVENTS}, st AS (SELECT job_id, avg(runtime) AS a, max(runtime) AS m, coalesce(stddev_samp(runtime), 0) AS s
-  FROM pairs GROUP BY job_id) SELECT job_id, round(a, -3) AS avg_task_runtime, m AS max_task_runtime, round(s, -3) AS std_task_runtime,
+  FROM pairs GROUP BY job_id) SELECT job_id, round(a / 1e6, 4) AS avg_task_runtime, m AS max_task_runtime, round(s / 1e6, 4) AS std_task_runtime,
   (m >= 2 * a)::INTEGER AS is_skewed FROM st""")
 def event_skew_labels(spark, folder):
     out = labels.label_jobs(runtimes.event_job_stats(clean.clean_events(activity_trace(spark, folder))))
-    return rounded(out, -3, "avg_task_runtime", "std_task_runtime")
+    return in_seconds(out)
+
+
+def in_seconds(df: DataFrame) -> DataFrame:
+    """Mean and spread in seconds at four digits; microseconds would end in the last bits of a double."""
+    return df.withColumns({c: F.round(F.col(c) / 1e6, 4) for c in ("avg_task_runtime", "std_task_runtime")})
+
+
+@query(f"WITH {EVENTS}, st AS (SELECT job_id, avg(runtime) AS a, max(runtime) AS m, coalesce(stddev_samp(runtime), 0) AS s "
+       "FROM pairs GROUP BY job_id) SELECT job_id, round(a / 1e6, 4) AS avg_task_runtime, m AS max_task_runtime, "
+       "round(s / 1e6, 4) AS std_task_runtime, (m >= 2 * a)::INTEGER AS is_skewed FROM st")
+def event_stats_hot(spark, folder):
+    """The same statistics with every task treated as a huge one."""
+    events = clean.clean_events(activity_trace(spark, folder))
+    return in_seconds(labels.label_jobs(runtimes.event_job_stats(events, hot_rows=1)))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS job_id, (l_partkey % 50)::DOUBLE AS gap FROM lineitem)
+SELECT job_id, round(avg(gap), 2) AS mean_gap, round(coalesce(stddev_samp(gap), 0), 4) AS std_task_runtime FROM r GROUP BY job_id""")
+def tight_runtimes(spark, folder):
+    """Spread of runtimes near 1e12 that differ by less than 50."""
+    task = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(F.col("l_orderkey").alias("job_id"), task.alias("task_index"), "l_partkey")
+    submit = rows.select("job_id", "task_index", F.lit(0).alias("event_type"), F.lit(1_000_000).cast("bigint").alias("timestamp"))
+    end = F.lit(1_000_001_000_000) + F.col("l_partkey") % 50
+    finish = rows.select("job_id", "task_index", F.lit(4).alias("event_type"), end.alias("timestamp"))
+    out = runtimes.event_job_stats(submit.union(finish))
+    out = out.select("job_id", (F.col("avg_task_runtime") - 1e12).alias("mean_gap"), "std_task_runtime")
+    return rounded(rounded(out, 2, "mean_gap"), 4, "std_task_runtime")
 
 
 @query(f"""WITH {ITEMS}, cl AS (SELECT * FROM items WHERE job_id IS NOT NULL AND job_id >= 0)
@@ -345,6 +450,25 @@ def template_id(spark, folder):
     return splits.add_template_id(jobs).select("job_id", "template_id")
 
 
+@query("""SELECT l_orderkey AS job_id, l_linenumber AS task_index, l_partkey, l_suppkey,
+  CASE l_partkey % 6 WHEN 3 THEN 0.25::DOUBLE WHEN 4 THEN 0.5::DOUBLE WHEN 5 THEN 1.0::DOUBLE ELSE l_discount END AS cpu_request,
+  CASE l_partkey % 6 WHEN 2 THEN l_tax WHEN 4 THEN 0.25::DOUBLE END AS memory_request, NULL::DOUBLE AS disk_space_request FROM lineitem""")
+def parse_resource_literals(spark, folder):
+    """Mapping literals that are no JSON: constants, tuples, a closing comma, ``.25``, line breaks."""
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet")
+    n, cpu, mem = F.col("l_partkey") % 6, F.col("l_discount").cast("string"), F.col("l_tax").cast("string")
+    text = (
+        F.when(n == 0, F.concat(F.lit("{'cpus': "), cpu, F.lit(", 'ok': True}")))
+        .when(n == 1, F.concat(F.lit("{'cpus': "), cpu, F.lit(", 'shape': (1, None, 'a'), 'memory': (2,)}")))
+        .when(n == 2, F.concat(F.lit("{'cpus': "), cpu, F.lit(", 'memory': "), mem, F.lit(", }")))
+        .when(n == 3, F.lit("{'cpus': .25}"))
+        .when(n == 4, F.lit("{'cpus': 0.5,\n 'memory': (0.25)}"))
+        .otherwise(F.lit("{'cpus': True, 'cpu': 3.}"))
+    )
+    rows = rows.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("task_index"), "l_partkey", "l_suppkey", text.alias("resource_request"))
+    return features.submit_rows(rows).select("job_id", "task_index", "l_partkey", "l_suppkey", *features.REQUESTS)
+
+
 # Text columns built from lineitem as direct traces carry them.
 def resource_texts(spark, folder) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/lineitem.parquet")
@@ -405,6 +529,15 @@ def early_features(spark, folder):
     return rounded(rounded(out, 6, "early_avg_task_runtime"), 4, "early_std_task_runtime")
 
 
+@query("WITH " + EARLY.format(ks="[0.1]", key="", group=""))
+def early_features_hot(spark, folder):
+    """The same slices with nearly every job cut into ranges, and a NULL job that is left out."""
+    rows = runtimes.direct_runtimes(item_tasks(spark, folder))
+    nobody = rows.filter("task_index = 1").withColumn("job_id", F.lit(None).cast("bigint"))
+    out = early.early_features(rows.unionByName(nobody), hot_rows=2)
+    return rounded(rounded(out, 6, "early_avg_task_runtime"), 4, "early_std_task_runtime")
+
+
 @query("WITH " + EARLY.format(ks="[0.05, 0.1, 0.2, 0.5, 1.0]", key="k, ", group=", k"))
 def early_features_sweep(spark, folder):
     rows = runtimes.direct_runtimes(item_tasks(spark, folder))
@@ -507,7 +640,8 @@ def class_metrics(spark, folder):
     return rounded(metrics.class_metrics(called(spark, folder)), 6, *metrics.CLASS_METRICS)
 
 
-@query(f"WITH {CALLED} SELECT model, label, pred AS prediction, count(*) AS n FROM called GROUP BY 1, 2, 3")
+@query(f"WITH {CALLED} SELECT model, y AS label, p AS prediction, count(*) FILTER (label = y AND pred = p) AS n "
+       "FROM called, (VALUES (0), (1)) a(y), (VALUES (0), (1)) b(p) GROUP BY 1, 2, 3")
 def confusion_matrix(spark, folder):
     return metrics.confusion_matrix(called(spark, folder), ["model"])
 
@@ -731,7 +865,7 @@ SELECT {key}z.c AS "column", count(z.x) AS "count", round(avg(z.x), 4) AS mean,
 FROM u GROUP BY {key}z.c"""
 
 
-DESCRIBED = ["num_tasks", "max_task_runtime", "priority"]
+DESCRIBED = ["num_tasks", "avg_task_runtime", "max_task_runtime", "std_task_runtime", "priority"]
 DIGITS = ("mean", "std", "p25", "p50", "p75")
 
 
@@ -745,15 +879,36 @@ def describe_by_label(spark, folder):
     return rounded(explore.describe(written_jobs(spark, folder), DESCRIBED, ["is_skewed"]), 4, *DIGITS)
 
 
+@query(f"""WITH {JOBS}, g AS (SELECT CASE WHEN num_tasks % 3 > 0 THEN num_tasks % 3 END AS grp, max_task_runtime AS x FROM jobs)
+SELECT grp, prob, round(quantile_cont(x, [0.1, 0.5, 0.99]::DOUBLE[])[i], 4) AS "value"
+FROM g, (VALUES (1, 0.1::DOUBLE), (2, 0.5::DOUBLE), (3, 0.99::DOUBLE)) v(i, prob) GROUP BY grp, prob, i""")
+def quantile_ranges(spark, folder):
+    """Quantiles per group, one of them NULL, with all values cut into ranges."""
+    size = F.col("num_tasks") % 3
+    jobs = written_jobs(spark, folder).select(F.when(size > 0, size).alias("grp"), "max_task_runtime")
+    out = exact_quantiles(jobs, ["max_task_runtime"], [0.1, 0.5, 0.99], ["grp"], few_values=0)
+    return rounded(out.select("grp", "prob", "value"), 4, "value")
+
+
+@query(f"""WITH {JOBS}, g AS (SELECT job_id, CASE WHEN num_tasks % 3 > 0 THEN num_tasks % 3 END AS grp, num_tasks FROM jobs)
+SELECT job_id, grp, sum(num_tasks) OVER (PARTITION BY grp ORDER BY job_id)::BIGINT AS upto FROM g""")
+def running_sum_ranges(spark, folder):
+    """Running sums per group, one of them NULL, over rows cut into ranges."""
+    size = F.col("num_tasks") % 3
+    jobs = order_jobs(spark, folder).select("job_id", F.when(size > 0, size).alias("grp"), "num_tasks")
+    return with_running_sums(jobs, ["grp"], [F.col("job_id")], {"upto": "num_tasks"}, few_rows=0).select("job_id", "grp", "upto")
+
+
 @query(f"WITH {JOBS} SELECT num_tasks, count(*) AS n FROM jobs GROUP BY num_tasks")
 def size_counts(spark, folder):
     return explore.value_counts(order_jobs(spark, folder), "num_tasks")
 
 
-@query(f"""WITH {JOBS}, lim AS (SELECT is_skewed, min(max_task_runtime) AS lo, max(max_task_runtime) AS hi, count(*) AS t FROM jobs GROUP BY 1),
-b AS (SELECT j.is_skewed, least(floor((max_task_runtime - lo) / ((hi - lo) / 50)), 49)::INTEGER AS bin, lo, (hi - lo) / 50 AS w, t FROM jobs j JOIN lim USING (is_skewed))
-SELECT is_skewed, bin, round(any_value(lo) + bin * any_value(w), 4) AS "left", count(*) AS n, round(count(*) / (any_value(t) * any_value(w)), 9) AS density
-FROM b GROUP BY is_skewed, bin""")
+@query(f"""WITH {JOBS}, lim AS (SELECT is_skewed, min(max_task_runtime) AS lo, (max(max_task_runtime) - min(max_task_runtime)) / 50 AS w, count(*) AS t FROM jobs GROUP BY 1)
+SELECT l.is_skewed, i::INTEGER AS bin, round(l.lo + i * w, 4) AS "left",
+  count(*) FILTER (x >= l.lo + i * w AND (x < l.lo + (i + 1) * w OR i = 49)) AS n,
+  round(count(*) FILTER (x >= l.lo + i * w AND (x < l.lo + (i + 1) * w OR i = 49)) / (any_value(t) * w), 9) AS density
+FROM lim l CROSS JOIN range(50) r(i) JOIN (SELECT is_skewed, max_task_runtime AS x FROM jobs) v USING (is_skewed) GROUP BY l.is_skewed, i, l.lo, w""")
 def runtime_histogram(spark, folder):
     out = explore.histogram(written_jobs(spark, folder), "max_task_runtime", "is_skewed")
     return rounded(rounded(out, 4, "left"), 9, "density")
@@ -774,12 +929,13 @@ def correlation_matrix(spark, folder):
     return rounded(explore.correlations(order_jobs(spark, folder), CORR), 6, "corr")
 
 
-@query(f"WITH {JOBS} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, is_skewed), 6) AS corr FROM jobs" for c in ("num_tasks", "priority")))
+@query(f"WITH {FEATS}, {STATS}, m AS (SELECT * FROM feats JOIN labelled USING (job_id)) "
+       + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, is_skewed), 6) AS corr FROM m" for c in features.PRE_EXEC_FEATURES))
 def label_correlations(spark, folder):
-    return rounded(explore.label_correlations(order_jobs(spark, folder), ("num_tasks", "priority")), 6, "corr")
+    return rounded(explore.label_correlations(direct_mart(order_trace(spark, folder))), 6, "corr")
 
 
-BOXED = ["num_tasks", "avg_task_runtime", "max_task_runtime", "std_task_runtime"]
+BOXED = ["num_tasks", "avg_task_runtime", "max_task_runtime", "std_task_runtime", "priority"]
 
 
 @query(f"""WITH {JOBS}, u AS (SELECT is_skewed, unnest([{', '.join(f"{{'c': '{c}', 'x': {c}::DOUBLE}}" for c in BOXED)}]) AS z FROM jobs),
@@ -949,6 +1105,28 @@ def live_scoring(spark, folder):
     return rounded(spark.read.parquet(out).select(*columns), 9, "skew_probability")
 
 
+@query(f"""WITH {SCORES} SELECT job_id::VARCHAR AS job_id, CASE WHEN job_id % 97 = 0 THEN 'rejected' ELSE 'scored' END AS status,
+  CASE WHEN job_id % 97 > 0 THEN round(score, 9) END AS skew_probability FROM scores WHERE model = 'logistic_regression'""")
+def live_csv_scoring(spark, folder):
+    """Arriving CSV files with two column orders and broken rows: the stream's output and its quarantine."""
+    jobs = trained_jobs(spark, folder).select(F.col("job_id").cast("string"), *features.PRE_EXEC_FEATURES)
+    jobs = stage(jobs.withColumn("num_tasks", F.when(F.col("job_id").cast("bigint") % 97 == 0, F.lit("broken")).otherwise(F.col("num_tasks").cast("string"))))
+    inbox, out, mark = (f"{stage_root(spark)}/laggard/{uuid.uuid4().hex}" for _ in range(3))
+    half = F.col("job_id").cast("bigint") % 2
+    jobs.filter(half == 0).select(*reversed(jobs.columns)).write.option("header", True).csv(inbox)
+    jobs.filter(half == 1).withColumn("remark", F.lit("x")).write.mode("append").option("header", True).csv(inbox)
+
+    def predict(rows: DataFrame) -> DataFrame:
+        rule = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("num_tasks") - 1) / F.lit(10.0)))
+        return scoring.add_predictions(rows.withColumn("skew_probability", rule), "logistic_regression")
+
+    rows = live.live_source(spark, inbox, files_per_batch=5)
+    live.score_stream(rows, predict, out, mark, mode=live.ABSOLUTE, trigger={"availableNow": True}).awaitTermination()
+    scored = spark.read.parquet(out).select("job_id", F.lit("scored").alias("status"), F.round("skew_probability", 9).alias("skew_probability"))
+    kept_back = spark.read.schema("job_id string").json(f"{out}_rejects")
+    return scored.union(kept_back.select("job_id", F.lit("rejected"), F.lit(None).cast("double")))
+
+
 @query()
 def live_history_scoring(spark, folder):
     """The same stream with history-relative confidence."""

@@ -45,6 +45,7 @@ DIRECT_TYPES = {
     "different_machine_constraint": T.DoubleType(),
 }
 
+# Columns that tell the formats apart.
 EVENT_REQUIRED = ("timestamp", "job_id", "task_index", "event_type")
 DIRECT_MARKERS = ("start_time", "duration", "end_time")
 

@@ -50,17 +50,27 @@ def order_trace(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("start_time", F.col("timestamp"))
 
 
-def activity_trace(spark: SparkSession, folder: str) -> DataFrame:
-    """The activity log as an event trace: the user is the job, ``k % 10`` the task."""
+def activity_trace(spark: SparkSession, folder: str, rough: bool = False) -> DataFrame:
+    """The activity log as an event trace: the user is the job, ``k % 10`` the task.
+
+    ``rough`` spoils some rows by ``k``: flagged or unknown completeness, missing
+    or negative ids, negative times, event codes that do not exist.
+    """
     events = table(spark, folder, "events")
     code = F.create_map(*[F.lit(x) for pair in EVENT_CODES.items() for x in pair])
     k = F.get_json_object("props", "$.k").try_cast("bigint")
+    time, flag, job, kind = micros(F.col("ts")), F.lit(0), F.col("user_id"), F.try_element_at(code, F.col("event_type"))
+    if rough:
+        time = F.when(k % 31 == 0, -time).otherwise(time)
+        flag = F.when(k % 13 == 0, 1).when(k % 17 != 0, 0)
+        job = F.when(k % 23 == 0, -job - 1).when(k % 19 != 0, job)
+        kind = F.when(k % 29 == 0, 99).otherwise(kind)
     return events.select(
-        micros(F.col("ts")).alias("timestamp"),
-        F.lit(0).alias("missing_info"),
-        F.col("user_id").alias("job_id"),
+        time.alias("timestamp"),
+        flag.alias("missing_info"),
+        job.alias("job_id"),
         (k % 10).alias("task_index"),
-        F.try_element_at(code, F.col("event_type")).alias("event_type"),
+        kind.alias("event_type"),
         F.when(k % 7 != 0, F.col("value")).alias("cpu_request"),
         F.when(k % 5 != 0, k / 100.0).alias("memory_request"),
         (k % 4).cast("double").alias("priority"),

@@ -32,7 +32,7 @@ def detect_format(fields) -> str:
 def _typed(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
     """Cast text columns by name; what does not parse becomes NULL.
 
-    Ids stay text: they may be names.
+    Job ids stay text: they may be names.
     """
     out = {}
     for c in df.columns:
@@ -55,13 +55,12 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format(str(path).rstrip("/").rsplit(".", 1)[1]).load(path)
     fields = header_fields(spark, path)
     kind = detect_format(fields)
-    if kind == EVENT_PLAIN:
-        return spark.read.schema(EVENT13).csv(path)
-    text = T.StructType([T.StructField(c, T.StringType()) for c in fields])
-    raw = spark.read.option("header", True).option("enforceSchema", True).schema(text).csv(path)
+    plain = kind == EVENT_PLAIN
+    text = T.StructType([T.StructField(c, T.StringType()) for c in (EVENT13.names if plain else fields)])
+    raw = spark.read.option("header", not plain).option("enforceSchema", True).schema(text).csv(path)
     if kind == DIRECT:
         return _typed(raw, DIRECT_TYPES)
-    return _typed(raw, {f.name: f.dataType for f in EVENT13.fields})
+    return _typed(raw, {f.name: f.dataType for f in EVENT13.fields if f.name != "job_id"})
 
 
 def sample_trace(spark: SparkSession, path: str, n_rows: int | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scoring import history_confidence
@@ -22,22 +22,60 @@ CORRUPT = "_corrupt_record"
 POLL = "2 seconds"
 
 
+# Most columns a live CSV file may have; more make its rows broken.
+MAX_FIELDS = 64
+
+
+_FIELDS = [f"f{i}" for i in range(MAX_FIELDS + 1)]
+
+
+def _with_fields(df: DataFrame, line: Column, name: str) -> DataFrame:
+    """Add the fields of a CSV line as an array of MAX_FIELDS + 1 texts, NULL where there is none."""
+    parsed = df.withColumn("_row", F.from_csv(line, ", ".join(f"{n} string" for n in _FIELDS), {"mode": "PERMISSIVE"}))
+    return parsed.withColumn(name, F.array(*[F.col(f"_row.{n}") for n in _FIELDS])).drop("_row")
+
+
 def live_source(
     spark: SparkSession, folder: str, fmt: str = "csv", schema: T.StructType = LIVE_JOB, files_per_batch: int = 1000
 ) -> DataFrame:
-    """Stream of the job files landing in ``folder``; broken CSV rows keep their text in a column."""
-    reader = spark.readStream.format(fmt).option("maxFilesPerTrigger", files_per_batch)
-    if fmt == "csv":
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        reader = reader.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.schema(schema).load(folder)
+    """Stream of the job files landing in ``folder``.
+
+    CSV columns are found by the names in each file's own header, whatever
+    their order; other columns are ignored.  A row is broken, and keeps its text
+    in the column ``_corrupt_record``, when its file lacks a column, when it has
+    more fields than the header, or when a number does not parse.  Files are
+    read whole (producers write one per batch), a field holds no line break.
+    """
+    reader = spark.readStream.format("text" if fmt == "csv" else fmt).option("maxFilesPerTrigger", files_per_batch)
+    if fmt != "csv":
+        return reader.schema(schema).load(folder)
+    files = reader.option("wholetext", True).load(folder)
+    lines = files.select(F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n").alias("_lines"))
+    # The header is taken apart before the lines part, so that a row carries the names and not its whole file.
+    heads = _with_fields(lines, F.get("_lines", F.lit(0)), "_names")
+    heads = heads.select("_lines", F.transform(F.filter("_names", lambda n: n.isNotNull()), lambda n: F.trim(n)).alias("_names"))
+    rows = heads.select("_names", F.explode(F.slice("_lines", 2, 2**31 - 1)).alias("_line")).filter("trim(_line) <> ''")
+    rows = _with_fields(rows, F.col("_line"), "_values")
+    columns, broken = {}, F.get("_values", F.array_size("_names")).isNotNull()
+    for field in schema.fields:
+        at = F.array_position(F.col("_names"), field.name)
+        text = F.when(at > 0, F.get(F.col("_values"), (at - 1).cast("int")))
+        value = text
+        if not isinstance(field.dataType, T.StringType):
+            plain = F.when(F.trim(text) != "", F.trim(text))
+            value = plain.try_cast("double")
+            value = value.try_cast(field.dataType) if isinstance(field.dataType, T.DoubleType) else F.when(value == F.floor(value), value.try_cast(field.dataType))
+            broken = broken | (plain.isNotNull() & value.isNull())
+        broken = broken | F.coalesce(at == 0, F.lit(True))
+        columns[field.name] = value.alias(field.name)
+    return rows.select(*columns.values(), F.when(broken, F.col("_line")).alias(CORRUPT))
 
 
 def split_corrupt(batch: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(good rows, rejected rows); a row without a job id is rejected too."""
+    """(good rows, rejected rows); a row without a job id is good."""
     if CORRUPT not in batch.columns:
         return batch, None
-    bad = F.col(CORRUPT).isNotNull() | F.col("job_id").isNull()
+    bad = F.col(CORRUPT).isNotNull()
     return batch.filter(~bad).drop(CORRUPT), batch.filter(bad).select(CORRUPT, "job_id")
 
 
@@ -63,6 +101,7 @@ def score_stream(
     rejects: str | None = None,
     trigger: dict | None = None,
     history_batches: int | None = None,
+    fmt: str = "parquet",
 ) -> StreamingQuery:
     """Score every arriving row once and append it to ``output``.
 
@@ -72,10 +111,12 @@ def score_stream(
     ``history_batches``, all by default) and their own batch.
     Repeated job ids are scored again, as rows, not jobs, arrive.  Each batch
     overwrites its own ``batch_id`` folder, so a retry leaves no duplicates.
+    Broken rows go to ``rejects``, by default the output's path with ``_rejects``.
     """
     if mode not in (ABSOLUTE, HISTORY):
         raise ValueError(f"Unknown confidence mode: {mode}")
     require_columns(rows, ["job_id", *PRE_EXEC_FEATURES], "live jobs")
+    rejects = rejects or f"{output.rstrip('/')}_rejects"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         good, bad = split_corrupt(batch)
@@ -84,10 +125,10 @@ def score_stream(
             kept = predicted.withColumn("_arrival", F.monotonically_increasing_id()).persist()
             past = _history(batch.sparkSession, output, batch_id, history_batches)
             predicted = history_confidence(kept, past, arrival=("_arrival",)).drop("_arrival")
-        predicted.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        predicted.write.mode("overwrite").format(fmt).save(f"{output}/batch_id={batch_id}")
         if mode == HISTORY:
             kept.unpersist()
-        if rejects and bad is not None:
+        if bad is not None and not bad.isEmpty():
             bad.write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
 
     writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -102,7 +143,5 @@ def score_to_files(
     fmt: str = "parquet",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Absolute-confidence scoring straight into an append-only file sink; no batch code at all."""
-    good = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in rows.columns else rows
-    writer = predict(good).writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": POLL})).start(output)
+    """Absolute-confidence scoring into a folder of files, with the same rules for broken rows."""
+    return score_stream(rows, predict, output, checkpoint, ABSOLUTE, trigger=trigger, fmt=fmt)
