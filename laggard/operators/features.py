@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.coerce import SUBMIT_ALIASES, alias_columns, coerce_numbers, number
 from ..functions.parse import constraint_flag, resource_requests
 from ..schemas import PRE_EXEC_FEATURES, REQUESTS, SUBMIT, feature_columns, require_columns
+from .staging import stage
 
 NUMERIC = (*REQUESTS, "priority", "scheduling_class", "different_machine_constraint")
 MODES = ("scheduling_class", "user_name")
@@ -89,9 +90,16 @@ def finish_features(features: DataFrame) -> DataFrame:
     return features.select("job_id", *[v.alias(c) for c, v in filled.items()], *optional, *rest)
 
 
-def pre_exec_features(df: DataFrame, check_empty: bool = False) -> DataFrame:
-    """One row per job with the submit-time features, ``submit_time`` and ``user_name``."""
+def pre_exec_features(df: DataFrame, check_empty: bool = False, staged: bool = True) -> DataFrame:
+    """One row per job with the submit-time features, ``submit_time`` and ``user_name``.
+
+    The submit rows are read twice, for means and for distinct values; ``staged``
+    writes them once before, so that scans and joins below them run once.
+    """
     rows = submit_rows(df)
+    wanted = {"job_id", "task_index", "timestamp", "start_time", "different_machine_constraint", *REQUESTS, *NUMERIC, *MODES}
+    rows = rows.select(*[c for c in rows.columns if c in wanted])
+    rows = stage(rows) if staged else rows
     if check_empty and rows.isEmpty():
         raise ValueError("the trace has no submit rows, so there is nothing to build features from")
     means, distincts = job_means(rows), job_distincts(rows)

@@ -89,7 +89,7 @@ scores AS (
 
 def order_jobs(spark, folder) -> DataFrame:
     """Labelled jobs with size, submit time, priority and template, joined one to one with orders."""
-    jobs = direct_mart(item_tasks(spark, folder), clean=False, template=False)
+    jobs = direct_mart(item_tasks(spark, folder), clean=False, template=False, staged=False)
     own = order_attributes(spark, folder).withColumnsRenamed({"timestamp": "submit_time", "user_name": "template_id"})
     jobs = jobs.select("job_id", "num_tasks", "avg_task_runtime", "max_task_runtime", "std_task_runtime", "is_skewed",
                        "scheduling_class", "cpu_request_std", "memory_request_std", "disk_space_request_std")

@@ -10,17 +10,31 @@ from ..operators.features import encode_categories, finish_features, job_distinc
 from ..operators.labels import job_runtime_stats, label_jobs
 from ..operators.runtimes import event_job_stats, extract_runtimes, scale_runtimes
 from ..operators.splits import add_template_id
+from ..operators.staging import stage
+from ..schemas import EVENT13, REQUESTS
 
+MART_COLUMNS = {
+    "job_id", "task_index", "timestamp", "start_time", "runtime", "scheduling_class", "priority", "user_name",
+    "different_machine_constraint", *REQUESTS,
+}
+EVENT_COLUMNS = {*EVENT13.names, "resource_request", "constraint", "collection_id", "instance_index", "user", "time"}
 
-def direct_mart(trace: DataFrame, unit: str = "auto", clean: bool = True, template: bool = True) -> DataFrame:
+
+def direct_mart(trace: DataFrame, unit: str = "auto", clean: bool = True, template: bool = True, staged: bool = True) -> DataFrame:
     """Job mart of a direct-runtime trace.
 
     Features and labels come from the same rows, so one aggregate computes both
     and the join of the two disappears.  Jobs without a positive runtime drop out.
+    The rows are needed for the largest runtime, the means and the distinct
+    values; ``staged`` writes their narrow form once, so that the trace, and any
+    join it is made of, is read once.
     """
     rows = submit_rows(clean_direct(trace) if clean else trace)
     runtime = number(rows, "duration") if "duration" in rows.columns else number(rows, "end_time") - number(rows, "start_time")
-    rows = scale_runtimes(rows.withColumn("runtime", runtime), unit)
+    rows = rows.withColumn("runtime", runtime)
+    if staged:
+        rows = stage(rows.select(*[c for c in rows.columns if c in MART_COLUMNS]))
+    rows = scale_runtimes(rows, unit)
     ran = F.when(F.col("runtime") > 0, F.col("runtime"))
     labels = [
         F.avg(ran).alias("avg_task_runtime"),
@@ -36,8 +50,9 @@ def direct_mart(trace: DataFrame, unit: str = "auto", clean: bool = True, templa
 
 def event_mart(cleaned: DataFrame) -> DataFrame:
     """Job mart of a cleaned event trace: submit features joined with labels from the event pairs."""
-    features = encode_categories(pre_exec_features(cleaned))
-    return add_template_id(features.join(label_jobs(event_job_stats(cleaned)), "job_id"))
+    events = stage(cleaned.select(*[c for c in cleaned.columns if c in EVENT_COLUMNS]))
+    features = encode_categories(pre_exec_features(events, staged=False))
+    return add_template_id(features.join(label_jobs(event_job_stats(events)), "job_id"))
 
 
 def job_mart(trace: DataFrame, unit: str = "auto", approx_medians: bool = False) -> DataFrame:

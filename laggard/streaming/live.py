@@ -76,7 +76,7 @@ def split_corrupt(batch: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     if CORRUPT not in batch.columns:
         return batch, None
     bad = F.col(CORRUPT).isNotNull()
-    return batch.filter(~bad).drop(CORRUPT), batch.filter(bad).select(CORRUPT, "job_id")
+    return batch.filter(~bad).drop(CORRUPT), batch.filter(bad).select(F.col(CORRUPT).alias("line"), "job_id")
 
 
 def _history(spark: SparkSession, path: str, batch_id: int, batches: int | None) -> DataFrame | None:
@@ -111,7 +111,8 @@ def score_stream(
     ``history_batches``, all by default) and their own batch.
     Repeated job ids are scored again, as rows, not jobs, arrive.  Each batch
     overwrites its own ``batch_id`` folder, so a retry leaves no duplicates.
-    Broken rows go to ``rejects``, by default the output's path with ``_rejects``.
+    Broken rows go to ``rejects`` (by default the output's path with ``_rejects``)
+    with their text in ``line``.
     """
     if mode not in (ABSOLUTE, HISTORY):
         raise ValueError(f"Unknown confidence mode: {mode}")
