@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,11 +24,11 @@ from .splits import calibration_holdout, stratified_folds
 
 @dataclass
 class SkewModel:
-    """A fitted classifier with an optional isotonic calibration of its score."""
+    """A fitted classifier with an optional isotonic or sigmoid calibration of its score."""
 
     name: str
     pipeline: PipelineModel
-    calibration: IsotonicRegressionModel | None = None
+    calibration: IsotonicRegressionModel | LogisticRegressionModel | None = None
     mode: str = "pre_exec"
 
     @property
@@ -40,7 +40,10 @@ class SkewModel:
         framed = training_frame(jobs.select(F.struct("*").alias("_row"), "*"), self.mode, keep=["_row"])
         scored = self.pipeline.transform(framed.select("_row", "features"))
         scored = scored.withColumn("_raw", _raw_score(self.name))
-        if self.calibration is not None:
+        if isinstance(self.calibration, LogisticRegressionModel):
+            slope, shift = float(self.calibration.coefficients[0]), float(self.calibration.intercept)
+            p = 1 / (1 + F.exp(-(F.col("_raw") * slope + shift)))
+        elif self.calibration is not None:
             scored = self.calibration.transform(scored)
             p = F.least(F.greatest(F.col("_calibrated"), F.lit(0.0)), F.lit(1.0))
         else:
@@ -118,13 +121,30 @@ def fit_model(name: str, frame: DataFrame, mode: str = "pre_exec", **sizes) -> S
     return SkewModel(name, estimator(name, total, **sizes).fit(weighted), None, mode)
 
 
-def calibrate(model: SkewModel, holdout: DataFrame) -> SkewModel:
-    """Isotonic calibration of a fitted model on rows it has not seen."""
+CALIBRATIONS = ("isotonic", "sigmoid")
+
+
+def calibrate(model: SkewModel, holdout: DataFrame, method: str = "isotonic") -> SkewModel:
+    """Calibration of a fitted model on rows it has not seen: isotonic, or a logistic curve through the raw score."""
+    if method not in CALIBRATIONS:
+        raise ValueError(f"method must be one of {CALIBRATIONS}")
     scored = model.pipeline.transform(holdout).select(_raw_score(model.name).alias("_raw"), "label")
+    if method == "sigmoid":
+        scored = scored.withColumn("_raw", array_to_vector(F.array("_raw")))
+        curve = LogisticRegression(featuresCol="_raw", labelCol="label", standardization=False).fit(scored)
+        return SkewModel(model.name, model.pipeline, curve, model.mode)
     iso = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_calibrated").fit(scored)
     return SkewModel(model.name, model.pipeline, iso, model.mode)
 
 
+class ModelSet(dict):
+    """Fitted models by name; ``failed`` has the errors of those that could not be fitted."""
+
+    def __init__(self):
+        super().__init__()
+        self.failed: dict[str, str] = {}
+
+
 def train_models(
     jobs: DataFrame,
     names: Sequence[str] = MODELS,
@@ -136,10 +156,12 @@ def train_models(
     seed: int = 42,
     rounds: int | None = None,
     trees: int | None = None,
-) -> dict[str, SkewModel]:
+    calibration_method: str = "isotonic",
+) -> ModelSet:
     """Holdout, optional minority oversampling of the fit rows, fits, calibration, save.
 
-    A boosted model that fails is left out; the others must fit.
+    A boosted model that fails is left out and named in ``failed`` of the
+    result; the others must fit.
     """
     fit_jobs, holdout = jobs, None
     if with_calibration:
@@ -149,16 +171,16 @@ def train_models(
         frame = balance_classes(frame, seed=seed)
     frame = frame.select("features", "label").persist()
     held = training_frame(holdout, mode).select("features", "label").persist() if holdout is not None else None
-    models = {}
+    models = ModelSet()
     try:
         for name in names:
             try:
                 model = fit_model(name, frame, mode, rounds=rounds, trees=trees, seed=seed)
-                models[name] = model if held is None else calibrate(model, held)
+                models[name] = model if held is None else calibrate(model, held, calibration_method)
             except Exception as error:
                 if name not in ("xgboost", "lightgbm"):
                     raise
-                print(f"{name} could not be fitted and is left out: {error}")
+                models.failed[name] = str(error)
     finally:
         frame.unpersist()
         if held is not None:
@@ -174,19 +196,21 @@ def save_models(models: dict[str, SkewModel], path: str, spark: SparkSession) ->
         model.pipeline.write().overwrite().save(f"{path}/{name}/pipeline")
         if model.calibration is not None:
             model.calibration.write().overwrite().save(f"{path}/{name}/calibration")
-    manifest = [(n, m.mode, m.calibration is not None) for n, m in models.items()]
-    table = spark.createDataFrame(manifest, "name string, mode string, calibrated boolean")
+    method = lambda m: "sigmoid" if isinstance(m.calibration, LogisticRegressionModel) else "isotonic"
+    manifest = [(n, m.mode, m.calibration is not None, method(m)) for n, m in models.items()]
+    table = spark.createDataFrame(manifest, "name string, mode string, calibrated boolean, method string")
     table.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
 def load_models(spark: SparkSession, path: str) -> dict[str, SkewModel]:
     """Models of a directory written by :func:`save_models`."""
-    rows = spark.read.schema("name string, mode string, calibrated boolean").json(f"{path}/manifest").collect()
+    rows = spark.read.schema("name string, mode string, calibrated boolean, method string").json(f"{path}/manifest").collect()
     out = {}
     for r in sorted(rows, key=lambda r: MODELS.index(r["name"]) if r["name"] in MODELS else len(MODELS)):
         base = f"{path}/{r['name']}"
-        iso = IsotonicRegressionModel.load(f"{base}/calibration") if r["calibrated"] else None
-        out[r["name"]] = SkewModel(r["name"], PipelineModel.load(f"{base}/pipeline"), iso, r["mode"])
+        kind = LogisticRegressionModel if r["method"] == "sigmoid" else IsotonicRegressionModel
+        calibration = kind.load(f"{base}/calibration") if r["calibrated"] else None
+        out[r["name"]] = SkewModel(r["name"], PipelineModel.load(f"{base}/pipeline"), calibration, r["mode"])
     return out
 
 
