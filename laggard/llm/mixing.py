@@ -121,9 +121,9 @@ ADDED = ("size", "source_size", "target", "taken", "uses", "position")
 
 def mix_sources(
     docs: DataFrame, schedule: Callable[[Sequence[str | None]], Mapping[str | None, Knots]],
-    key: Sequence[str] = ("doc_id",), repeats: float = MAX_REPEATS, bucket_docs: int = BUCKET_DOCS,
+    key: Sequence[str] = ("doc_id",), repeats: float = MAX_REPEATS, bucket_docs: int = BUCKET_DOCS, ordered: bool = True,
 ) -> DataFrame:
-    """Documents with what the mix takes of them, range-sorted by training position.
+    """Documents with what the mix takes of them, range-sorted by training position if ``ordered``.
 
     ``docs`` needs ``source``, the ``key`` columns that order documents, and
     ``size`` or else ``text``.  ``schedule`` maps the sources, sorted by code
@@ -163,6 +163,8 @@ def mix_sources(
     rows = rows.withColumn("uses", F.coalesce(uses, empty))
     taken = F.aggregate("uses", F.lit(0).cast("long"), lambda sum_, u: sum_ + u["words"])
     rows = rows.withColumns({"taken": taken, "position": F.get(F.col("uses")["position"], F.lit(0))})
+    if not ordered:
+        return rows.select(*columns, *ADDED)
     # Documents without a use go to the end, spread by hash; positions tie only with equal starts.
     by = [F.col("position").asc_nulls_last(), F.col("_h")]
     return rows.repartitionByRange(*by).sortWithinPartitions(*by).select(*columns, *ADDED)
