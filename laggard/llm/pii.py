@@ -7,14 +7,19 @@ without backtracking over long runs (possessive repeats; an e-mail or an IP may
 only start where its run of characters starts, or where the last match ended),
 which changes no match.
 
-Terms.  Every identifier is an entity to protect.  The words within ``RADIUS``
-characters of it are terms that may reveal it.  With n(e), n(t) and n(e, t) the
-numbers of documents with the entity, the term, and the term near the entity, the
-disclosure of e by t is PMI(e, t) / IC(e): the share of the entity's information
-that the term carries, 1 when the term occurs nowhere else.  Terms above
-``REMOVE`` are removed, terms above ``GENERALISE`` are replaced by a placeholder,
-in every document that mentions the entity.  A term needs ``SUPPORT`` different
-texts, so that a single text, however often copied, discloses nothing.
+Terms.  Every identifier is an entity to protect, and every other word of a
+document that mentions it is a term that may reveal it, wherever it stands.  With
+n(e), n(t) and n(e, t) the numbers of documents with the entity, the term, and
+both, the disclosure of e by t is PMI(e, t) / IC(e): the share of the entity's
+information that the term carries, 1 when the term occurs nowhere else.  Terms
+above ``REMOVE`` are removed, terms above ``GENERALISE`` are replaced by a
+placeholder, in every document that mentions the entity.
+
+A pair counts when it is no coincidence: n different texts with both, of T texts
+of which d have the term, are n * log2(T / d) bits of evidence, and ``EVIDENCE``
+bits are needed.  A rare name in one text of many has them, a common word has
+them after a few texts, and copies of a text are one text.  In a corpus of fewer
+than 2 ** ``EVIDENCE`` texts a single text is no evidence for any term.
 
 Everything is DataFrame expressions and groupings with map-side combination.
 The revealing terms of each text come back by a join on a digest of the text; it
@@ -28,10 +33,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.staging import broadcast_if_small
 from .tables import Table
 
-RADIUS = 100
-SUPPORT = 3
+EVIDENCE = 10.0
 GENERALISE = 0.6
 REMOVE = 0.85
 FEW_TERMS = 100_000
@@ -106,47 +111,47 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def _words(text: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0)))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
-    """One row per entity and document: text ``key``, ``entity`` and the ``terms`` near it."""
+    """One row per text with an entity: its ``key``, ``entities``, ``terms`` and ``copies``."""
     marked = identifiers(docs.select("text"))
     plain = {"email": F.lower, "ip": lambda v: v, "card": _digits, "phone": _digits}
 
     def named(kind: str) -> Column:
-        entity = lambda s: F.concat(F.lit(kind + ":"), plain[kind](s["value"])).alias("entity")
-        return F.transform(kind, lambda s: F.struct(entity(s), s["start"].alias("start"), s["end"].alias("end")))
-
-    spans = F.concat(*[named(k) for k in KINDS])
-    rows = marked.select("text", text_key(F.col("text")).alias("key"), F.explode(spans).alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    # Cut-off words at the far ends are left out.
-    before = F.regexp_replace(F.col("text").substr(F.greatest(start - RADIUS + 1, F.lit(1)), F.least(start, F.lit(RADIUS))), r"^\S+", "")
-    before = F.when(start <= RADIUS, F.col("text").substr(F.lit(1), start)).otherwise(before)
-    after = F.regexp_replace(F.col("text").substr(end + 1, F.lit(RADIUS)), r"\S+\z", "")
-    after = F.when(F.length("text") - end <= RADIUS, F.col("text").substr(end + 1, F.lit(RADIUS))).otherwise(after)
-    near = F.regexp_replace(F.concat(before, F.lit(" "), after), r"\S*[@0-9]\S*", " ")
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(TERM), F.lit(0)))
-    return rows.select("key", F.col("s.entity").alias("entity"), terms.alias("terms"))
+        return F.transform(kind, lambda s: F.concat(F.lit(kind + ":"), plain[kind](s["value"])))
+
+    entities = F.array_distinct(F.concat(*[named(k) for k in KINDS]))
+    rows = marked.select("text", entities.alias("entities")).filter(F.size("entities") > 0)
+    rest = F.regexp_replace("text", r"\S*[@0-9]\S*", " ")
+    rows = rows.select(text_key(F.col("text")).alias("key"), "entities", _words(rest).alias("terms"))
+    return rows.groupBy("key").agg(F.any_value("entities").alias("entities"), F.any_value("terms").alias("terms"), F.count(F.lit(1)).alias("copies"))
 
 
 def disclosing_terms(
-    docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE
+    docs: DataFrame, found: DataFrame, evidence: float = EVIDENCE, generalise: float = GENERALISE, remove: float = REMOVE
 ) -> DataFrame:
     """``entity``, ``term``, ``disclosure`` and ``removed`` of the terms above the threshold."""
     # Documents that share a text are counted by the text's number of copies.
-    per_text = found.select("key", "entity", F.explode("terms").alias("term")).groupBy("entity", "term", "key").agg(F.lit(1).alias("one"))
-    texts = found.select("key").distinct()
-    copies = docs.select(text_key(F.col("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(texts, "key", "left_semi")
-    near = per_text.join(copies, "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-    near = Table(near.filter(F.col("texts") >= support)).rows
-    entities = found.select("entity", "key").distinct().join(copies, "key").groupBy("entity").agg(F.sum("n").alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.select(F.lit(1).alias("one")).groupBy().agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    pairs = found.select("copies", F.explode("entities").alias("entity"), "terms").select("copies", "entity", F.explode("terms").alias("term"))
+    near = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts"))
+    entities = found.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    keys = Table(docs.select(text_key(F.col("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("copies"))).rows
+    total, texts = keys.agg(F.sum("copies"), F.count(F.lit(1))).first()
+    # Each copy of a text is its share of one text.
+    copied = broadcast_if_small(keys.filter("copies > 1"))
+    words = docs.select(text_key(F.col("text")).alias("key"), _words(F.col("text")).alias("words")).join(copied, "key", "left")
+    words = words.select(F.explode("words").alias("term"), (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("share"))
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"), F.sum("share").alias("t_texts"))
     rows = near.join(entities, "entity").join(terms, "term")
-    information = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    information = F.log2(F.lit(float(total or 0)) / F.col("n_e"))
+    pmi = F.log2(F.lit(float(total or 0)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     rows = rows.withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
-    rows = rows.filter(F.col("disclosure") >= generalise)
+    bits = F.col("texts") * F.log2(F.lit(float(texts)) / F.round("t_texts"))
+    rows = rows.filter((F.col("disclosure") >= generalise) & (bits >= evidence))
     return rows.select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed"))
 
 
@@ -154,7 +159,7 @@ def _revealing(docs: DataFrame, **thresholds) -> DataFrame:
     """``key`` and the ``_terms`` (term, removed) to treat in the texts with that digest."""
     found = Table(mentions(docs)).rows
     flagged = disclosing_terms(docs, found, **thresholds)
-    pairs = found.select("key", "entity").distinct().join(flagged, "entity").groupBy("key", "term").agg(F.bool_or("removed").alias("removed"))
+    pairs = found.select("key", F.explode("entities").alias("entity")).join(flagged, "entity").groupBy("key", "term").agg(F.bool_or("removed").alias("removed"))
     return Table(pairs.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("_terms"))).rows
 
 

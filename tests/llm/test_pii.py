@@ -82,3 +82,18 @@ def test_overlapping_identifiers_are_replaced_once(spark):
     text = "call +4111111111111111 now 1.2.3.4"
     row = pii.find_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).withColumn("clean", pii.sanitised(F.col("text"))).first()
     assert row["clean"] in ("call +<CARD> now <IP>", "call <PHONE> now <IP>")
+
+
+def test_a_rare_name_of_one_text_is_treated(spark):
+    """One text of 2,500 and 20 copies of another; the name of one stands far from the address."""
+    rng = random.Random(6)
+    filler = [f"word{c}{d}" for c in "abcde" for d in "abcde"]
+    some = lambda k: " ".join(rng.choices(filler, k=k))
+    rows = [(i, f"{some(12)}") for i in range(2500)]
+    rows += [(9000, f"{some(4)} Zanzibarov {some(60)} zed@corp.example {some(4)}")]
+    rows += [(9100 + i, "worda wordb Uniquement ab near one@other.example") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["term"] for r in pii.find_spans(docs).collect()}
+    assert [(s["value"], s["removed"]) for s in got[9000]] == [("Zanzibarov", True)]
+    assert all("Uniquement" in [s["value"] for s in got[9100 + i]] for i in range(20))
+    assert not any(got[i] for i in range(2500))
