@@ -967,10 +967,6 @@ def table_shape(spark, folder):
 
 # ------------------------------------------------- oversampling and learning
 
-# The full sizes are 300 rounds and 200 trees; the catalog's runs are shorter.
-SHORT = {"rounds": 5, "trees": 20}
-
-
 def trained_jobs(spark, folder) -> DataFrame:
     """Written job mart of the full order trace."""
     return stage(direct_mart(order_trace(spark, folder)))
@@ -1000,7 +996,7 @@ def _fitted(spark, folder, name: str) -> DataFrame:
     """Predictions of one calibrated model on the late jobs, trained on the early ones."""
     parts = stage(splits.time_split(trained_jobs(spark, folder)))
     early_jobs, late = (parts.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    model = train.train_models(early_jobs, [name], use_smote=False, **SHORT)[name]
+    model = train.train_models(early_jobs, [name], use_smote=False)[name]
     out = model.predict(late)
     return out.select("job_id", "is_skewed", "skew_probability", "predicted_skew", "threshold_used", "prediction_confidence")
 
@@ -1030,28 +1026,31 @@ def trained_evaluation(spark, folder):
     """All four models with oversampling and calibration, evaluated beside the rule baseline."""
     parts = stage(splits.time_split(trained_jobs(spark, folder)))
     early_jobs, late = (parts.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    models = train.train_models(early_jobs, use_smote=True, **SHORT)
+    models = train.train_models(early_jobs, use_smote=True)
     return metrics.comparison_table(train.evaluate_models(models, late), baseline.evaluate_baseline(late).drop("threshold"))
 
 
 @query()
 def feature_importance(spark, folder):
     frame = features.training_frame(trained_jobs(spark, folder))
-    return train.feature_importance(train.fit_model("random_forest", frame, trees=SHORT["trees"]))
+    return train.feature_importance(train.fit_model("random_forest", frame))
 
 
 @query()
 def cross_validation(spark, folder):
-    return train.cross_validate(trained_jobs(spark, folder), ["logistic_regression"])
+    return train.cross_validate(trained_jobs(spark, folder))
 
 
 @query()
 def early_exec_model(spark, folder):
-    """Logistic regression on early-execution features."""
+    """All four models on early-execution features."""
     rows = runtimes.direct_runtimes(item_tasks(spark, folder))
     jobs = stage(trained_jobs(spark, folder).join(early.early_features(rows), "job_id"))
-    model = train.train_models(jobs, ["logistic_regression"], mode="early_exec")["logistic_regression"]
-    return model.predict(jobs).select("job_id", "is_skewed", "skew_probability", "predicted_skew")
+    out = None
+    for name, model in train.train_models(jobs, mode="early_exec").items():
+        part = model.predict(jobs).select(F.lit(name).alias("model"), "job_id", "is_skewed", "skew_probability", "predicted_skew")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query()
@@ -1061,7 +1060,7 @@ def transfer_matrix(spark, folder):
     made = stage(real.select(*[c.alias(n) for n, c in labelled_columns(F.col("job_id")).items()]))
     names = ["job_id", *features.PRE_EXEC_FEATURES, "is_skewed", "submit_time"]
     origins = {"real": real.withColumn("job_id", F.col("job_id").cast("string")).select(*names), "generated": made.select(*names)}
-    return pipeline.transfer_matrix(origins, ["logistic_regression"], hybrid=("real", "generated"))
+    return pipeline.transfer_matrix(origins, hybrid=("real", "generated"))
 
 
 def _live_sql() -> str:
