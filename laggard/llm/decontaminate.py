@@ -15,7 +15,8 @@ read in blocks of at most ``BLOCK_BYTES`` of text (and one item), each small
 enough to be held by every task, so a large benchmark means more passes over the
 documents and no larger tasks.
 
-Null or empty texts match nothing, null or empty items are never found.
+Null or empty texts match nothing, items without text are never found.  An item
+with a null id is found like any other and reported with a null ``item_id``.
 Repeated documents are judged each; items with equal texts are all reported.
 Tables without rows give no matches.  Extra columns are kept by ``decontaminated``.
 """
@@ -127,7 +128,7 @@ class Matcher:
                     best = got[0], end - best_end(pattern[::-1], back, got[0])[1], end
             if best:
                 out.append((item, *best))
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
 
     def _near(self, n: int, text: str, start: int, a: int, b: int, edits: int) -> bool:
         """Whether characters a to b of an item stand near where they should, with so many edits at most."""
@@ -156,7 +157,7 @@ def _blocks(benchmark: DataFrame, rate: float, block_bytes: int) -> list[Callabl
     out = []
     for b in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct()
-        rows = sorted((r["item_id"], normalised(r["text"])) for r in part.filter("item_id IS NOT NULL").collect())
+        rows = sorted(((r["item_id"], normalised(r["text"])) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         out.append(_finder(spark.sparkContext.broadcast(rows), rate))
     return out
 

@@ -61,3 +61,11 @@ def test_blocks_give_the_same_matches_and_odd_rows(spark):
     kept = D.decontaminated(docs, benchmark)
     assert sorted(r["doc_id"] for r in kept.collect()) == [50, 51, 53] and kept.columns == docs.columns
     assert D.find_leaks(docs, benchmark.limit(0)).count() == 0 and D.decontaminated(docs.limit(0), benchmark).count() == 0
+
+
+def test_items_without_an_id_are_found(spark):
+    items = spark.createDataFrame([(None, "a question that has no number"), (None, None), (4, "another question with a number")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x a question that has no number y"), (2, "clean words only"), (3, "a question that has no number another question with a number")], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, items).collect()}
+    assert found == {(1, None), (3, None), (3, 4)}
+    assert [r["doc_id"] for r in D.decontaminated(docs, items).collect()] == [2]
