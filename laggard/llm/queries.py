@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, langid, mixing, pii, simhash, substrings, toxicity, urls, warc
+from . import decontaminate, embeddings, langid, licenses, mixing, pii, simhash, spelling, substrings, toxicity, urls, vectors, warc
 from .text import crc_remainder, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,6 +193,104 @@ def op10_pii(spark, folder):
     return found.select("doc_id", *counts, base, pii.span_list(*pii.KINDS, "term").alias("spans"))
 
 
+# --------------------------------------------------------- 11: licence scans
+
+
+@query()
+def op11_license_scan(spark, folder):
+    """Licence notices and tags of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", licenses.licenses(F.col("text")).alias("found"))
+    base = F.filter("found.places", lambda p: p["base"])
+    of = lambda field: F.transform(base, lambda p: p[field])
+    return docs.select(
+        "doc_id", F.col("found.n_words").alias("n_words"),
+        F.aggregate(of("n"), F.lit(0).cast("long"), lambda a, n: a + n).alias("n_base"),
+        F.array_min(of("first_word")).alias("first_word"), F.array_max(of("last_word")).alias("last_word"),
+        licenses.label_list(F.col("found.places"), True).alias("base_labels"),
+        licenses.label_list(F.col("found.places"), False).alias("labels"), F.col("found.score").alias("score"),
+    )
+
+
+# ------------------------------------------------ 12: vector code compression
+
+
+def _code_rounds(rounds: int) -> str:
+    """SQL of the codebooks after each round, and of the last assignment ``a{rounds}``."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""
+a{r} AS (
+  SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT x.vec_id, x.p, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM x JOIN b{r} b USING (p))
+  GROUP BY vec_id, p)""")
+        if r < rounds:
+            out.append(f"""
+b{r + 1} AS (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT p, e, list(c ORDER BY i) AS v FROM (
+      SELECT p, e, i, floor(sum(x.v[i])::DOUBLE / count(*))::BIGINT AS c
+      FROM a{r} JOIN x USING (vec_id, p), range(1, 1000) r(i) WHERE i <= len(x.v) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    return ",".join(out)
+
+
+@query(f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS v, len(embedding) // 4 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+x AS (SELECT vec_id, p, v[p * w + 1 : p * w + w] AS v FROM k, range(4) r(p)),
+b0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v
+  FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
+{_code_rounds(4)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM c JOIN k USING (vec_id), h
+""")
+def op12_vector_codes(spark, folder):
+    """Product code and error of every vector."""
+    coded = vectors.encode(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+# ------------------------------------------------ 13: spelling variants
+
+
+@query("""
+WITH RECURSIVE t AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
+crc AS (SELECT list(c::BIGINT ORDER BY i) AS tab FROM t WHERE k = 8),
+runs AS (
+  SELECT doc_id, run, count(*) AS m FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS run
+    FROM documents) GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, m, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(hx) // 2 + 1), lambda i: ('0x' || hx[2 * i - 1 : 2 * i])::BIGINT)),
+           lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295::BIGINT) AS h
+  FROM (SELECT run, m, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM runs), crc),
+w AS (
+  SELECT word, sum(m)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, m FROM hashed)
+  GROUP BY word HAVING length(word) >= 7 AND sum(m) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word)::BIGINT + 1)) AS i FROM w)),
+pairs AS (
+  SELECT a.word AS a, a.n AS n_a, b.word AS b, b.n AS n_b FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN w b ON a.rest = b.word),
+near AS (SELECT a, count(*) AS n_near, max(n_b) AS top FROM pairs GROUP BY a),
+best AS (SELECT p.a, min(p.b) AS form FROM pairs p JOIN near USING (a) WHERE p.n_b = top AND top >= 10 * p.n_a GROUP BY p.a),
+chain AS (SELECT a AS word, form AS root, 1 AS k FROM best UNION ALL SELECT c.word, b.form, k + 1 FROM chain c JOIN best b ON c.root = b.a),
+ends AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form IS NOT NULL THEN top END AS form_n
+FROM w LEFT JOIN near ON near.a = w.word LEFT JOIN best ON best.a = w.word LEFT JOIN ends ON ends.word = w.word
+""")
+def op13_spelling_variants(spark, folder):
+    """Near words, form and root of every word of seven letters or more."""
+    return spelling.spelling_forms(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def pipeline(spark, folder):
     """All stages of ``corpus_pipeline`` over the documents."""
