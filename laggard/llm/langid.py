@@ -20,9 +20,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .text import pieces
+
 UNKNOWN = "und"
 SEGMENT = 64
 WINDOW = 256
@@ -211,12 +213,16 @@ def pooled(model: Model, texts: list[str | None]) -> np.ndarray:
 def language(text: Column, model: Model) -> Column:
     """Struct (lang, score) of a text."""
 
-    @F.pandas_udf("lang string, score double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = pa.array(model.languages, pa.string())
         for batch in batches:
-            p = pooled(model, list(batch))
-            best = p.argmax(axis=1)
-            yield pd.DataFrame({"lang": [model.languages[b] for b in best], "score": p[np.arange(len(p)), best]})
+            best, score = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            for at, texts in pieces(batch):
+                p = pooled(model, texts)
+                part = slice(at, at + len(texts))
+                best[part], score[part] = p.argmax(axis=1), p.max(axis=1)
+            yield pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score)], ["lang", "score"])
 
     unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
     if not model.languages:

@@ -136,11 +136,13 @@ def mix_sources(
     """
     if "size" not in docs.columns:
         docs = docs.withColumn("size", word_count(F.col("text")))
-    docs = docs.drop(*[c for c in ADDED if c != "size"])
-    columns = [c for c in docs.columns if c != "size"]
+    columns = [c for c in docs.columns if c not in ADDED]
     sources = F.broadcast(source_table(docs, schedule, repeats).withColumnRenamed("source", "_source"))
-    rows = docs.join(sources, docs["source"].eqNullSafe(F.col("_source")))
-    rows = rows.withColumn("_h", F.xxhash64(*key))
+    # The row travels as one column, so that no name of its own meets those used here.
+    docs = docs.select(F.struct(*columns).alias("_row"), "size")
+    rows = docs.join(sources, F.col("_row.source").eqNullSafe(F.col("_source")))
+    keys = [F.col("_row").getField(k) for k in key]
+    rows = rows.withColumn("_h", F.xxhash64(*keys))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_h"), F.ceil(F.col("n_docs") / bucket_docs)))
     per_bucket = rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -148,7 +150,7 @@ def mix_sources(
         F.col("_source").alias("_os"), F.col("_bucket").alias("_ob"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_off")
     )
     same = F.col("_source").eqNullSafe(F.col("_os")) & (F.col("_bucket") == F.col("_ob"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_h", *key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_h", *keys, "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(offsets, same).withColumn("_start", F.col("_off") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
     def use(n: Column) -> Column:
@@ -164,10 +166,10 @@ def mix_sources(
     taken = F.aggregate("uses", F.lit(0).cast("long"), lambda sum_, u: sum_ + u["words"])
     rows = rows.withColumns({"taken": taken, "position": F.get(F.col("uses")["position"], F.lit(0))})
     if not ordered:
-        return rows.select(*columns, *ADDED)
+        return rows.select("_row.*", *ADDED)
     # Documents without a use go to the end, spread by hash; positions tie only with equal starts.
     by = [F.col("position").asc_nulls_last(), F.col("_h")]
-    return rows.repartitionByRange(*by).sortWithinPartitions(*by).select(*columns, *ADDED)
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).select("_row.*", *ADDED)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

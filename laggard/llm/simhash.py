@@ -146,20 +146,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS)
     of = stage(grouped.join(ids, "root").select("fp", "component_id"))
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
-
-def deduplicated(docs: DataFrame, shingle: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
-    """The row of each near-duplicate group that has the smallest id; other columns are kept.
-
-    Of several rows that are that document, one stays.  In a group of null ids
-    the smallest fingerprint stands for the group.
-    """
-    marked = docs.withColumn("_fp", simhash(F.col("text"), shingle))
-    narrow = stage(marked.select("doc_id", F.col("_fp").alias("fp")))
-    fps = stage(narrow.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    members = connected_components(stage(links(fps.select("fp"), max_bits)), "a", "b")
-    grouped = fps.join(members.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # Null ids last: the struct starts with whether the id is missing.
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("b"))
-    keep = stage(best.select(F.col("b.first").alias("_first"), F.col("b.fp").alias("_keep")))
-    found = marked.join(keep, (F.col("_fp") == F.col("_keep")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_fp"]).drop("_fp")

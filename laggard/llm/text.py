@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, functions as F
 
 # A word is a run of anything but space, tab, line feed, vertical tab, form feed
@@ -22,3 +26,20 @@ def crc_remainder(doc_id: Column, divisor: int) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Text that a Python task turns into objects at once.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(texts: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch in runs of about ``size`` bytes, or one text if that is longer, each with its first row."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, n in enumerate(lengths):
+        held += int(n)
+        if held >= size:
+            yield first, texts.slice(first, i + 1 - first).to_pylist()
+            first, held = i + 1, 0
+    if first < len(texts):
+        yield first, texts.slice(first).to_pylist()

@@ -106,8 +106,10 @@ def filter_urls(
     table, blocks = bloom_blocks(canon, "_listed")
     if blocks * 8 * (WORDS + 1) <= broadcast_bytes:
         table = F.broadcast(table)
-    u = F.col(url)
-    pages = pages.drop("host", "path", "rule", "verdict").withColumns(
+    # The row travels as one column, so that no name of its own meets those used here.
+    own_columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    pages, u = pages.select(F.struct(*own_columns).alias("_row")), F.col("_row").getField(url)
+    pages = pages.withColumns(
         {"host": F.coalesce(url_host(u), F.lit("")), "path": F.coalesce(url_path(u), F.lit("")), "_canon": canonical_url(u)}
     )
     pages = pages.withColumns({"_rule": matching_rule(F.col("host"), F.col("path"), rules), "_block": _block(F.col("_canon"), blocks)})
@@ -121,6 +123,4 @@ def filter_urls(
     exact = (F.col("_key") == F.col("_listed")) & F.col("_maybe")
     hits = probed.join(canon.hint("shuffle_hash"), exact, "left")
     own = F.when(F.col("_listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return hits.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", own)}).drop(
-        "_rule", "_block", "_canon", "_maybe", "_key", "_listed", *[f"_w{i}" for i in range(WORDS)]
-    )
+    return hits.select("_row.*", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"))
