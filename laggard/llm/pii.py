@@ -10,20 +10,22 @@ which changes no match.
 Terms.  Every identifier is an entity to protect, and every other word of a
 document that mentions it is a term that may reveal it, wherever it stands.  With
 n(e), n(t) and n(e, t) the numbers of documents with the entity, the term, and
-both, the disclosure of e by t is PMI(e, t) / IC(e): the share of the entity's
-information that the term carries, 1 when the term occurs nowhere else.  Terms
-above ``REMOVE`` are removed, terms above ``GENERALISE`` are replaced by a
+both, of N documents, the disclosure of e by t is PMI(e, t) / IC(e): the share of
+the entity's information that the term carries.  n(t) is taken one larger, as if
+the term had been seen once more without the entity; so a term of a single
+document discloses 1 - 1 / log2 N, less in a small corpus than in a large one.
+Terms above ``REMOVE`` are removed, terms above ``GENERALISE`` are replaced by a
 placeholder, in every document that mentions the entity.
 
-A pair counts when it is no coincidence: n different texts with both, of T texts
-of which d have the term, are n * log2(T / d) bits of evidence, and ``EVIDENCE``
-bits are needed.  A rare name in one text of many has them, a common word has
-them after a few texts, and copies of a text are one text.  In a corpus of fewer
-than 2 ** ``EVIDENCE`` texts a single text is no evidence for any term.
+Entities of the same documents have the same counts with every term; they are
+one class, so a text with very many identifiers makes no product of identifiers
+and words.
 
 Everything is DataFrame expressions and groupings with map-side combination.
-The revealing terms of each text come back by a join on a digest of the text; it
-is broadcast only when a count shows at most ``FEW_TERMS`` terms in all.
+Folds over the matches of a text go in sections of ``SECTION``, so that their work
+is in proportion to the text.  The revealing terms are joined to the words of
+each different text, and their places come back by a join on a digest of the
+text; it is broadcast only when a count shows at most ``FEW_TERMS`` places in all.
 
 Null texts are empty.  Equal texts are treated alike, whatever their ids; other
 columns are kept, but columns with the names of those added are replaced.
@@ -36,10 +38,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.staging import broadcast_if_small
 from .tables import Table
 
-EVIDENCE = 10.0
-GENERALISE = 0.6
+GENERALISE = 0.75
 REMOVE = 0.85
 FEW_TERMS = 100_000
+SECTION = 256
+_CUT = 4_096  # code points
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -51,6 +54,7 @@ PATTERNS = {
 TERM = r"\p{L}[\p{L}\p{M}]{2,}+"
 ADDED = (*KINDS, "term")
 SPANS = "array<struct<start:int,end:int,value:string>>"
+TERM_SPAN = "struct<start:int,end:int,value:string,removed:boolean>"
 
 
 def _digits(value: Column) -> Column:
@@ -77,20 +81,46 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(items: Column, advance) -> Column:
+    """Every item with the state ``before`` it: an int from 0 that each item advances."""
+
+    def of(sections: Column) -> Column:
+        after = lambda at, section: F.aggregate(section, at, advance)
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        step = lambda state, c: F.struct(after(state["at"], c).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+        starts = F.aggregate(sections, begin, step, lambda state: state["starts"])
+
+        def one(section: Column, start: Column) -> Column:
+            # States before the items of one section.
+            more = lambda states, x: F.concat(states, F.array(advance(F.element_at(states, -1), x)))
+            return F.arrays_zip(section.alias("item"), F.slice(F.aggregate(section, F.array(start), more), 1, F.size(section)).alias("before"))
+
+        return F.flatten(_let(starts, lambda s: F.transform(sections, lambda section, i: one(section, F.get(s, i)))))
+
+    def cut(all_: Column) -> Column:
+        last = F.floor((F.greatest(F.size(all_), F.lit(1)) - 1) / SECTION).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_, i * SECTION + 1, F.lit(SECTION)))
+
+    return _let(_let(items, cut), of)
+
+
 def _located(text: Column, pattern: str, valid) -> Column:
     """Spans of the valid matches, in order."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    parts = F.transform(parts, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.coalesce(F.length(p["hit"]), F.lit(0)).alias("size"), p["hit"].alias("hit")))
+    placed = _running(parts, lambda at, p: at + p["gap"] + p["size"])
+    hits = F.filter(placed, lambda p: p["item"]["hit"].isNotNull() & valid(p["item"]["hit"]))
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value"))
-        found = part["hit"].isNotNull() & valid(part["hit"])
-        spans = F.when(found, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+    def span(p: Column) -> Column:
+        start = p["before"] + p["item"]["gap"]
+        return F.struct(start.alias("start"), (start + p["item"]["size"]).alias("end"), p["item"]["hit"].alias("value"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    return F.aggregate(parts, begin, step, lambda state: state["spans"])
+    return F.transform(hits, span)
 
 
 def _none() -> Column:
@@ -131,57 +161,67 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.any_value("entities").alias("entities"), F.any_value("terms").alias("terms"), F.count(F.lit(1)).alias("copies"))
 
 
-def disclosing_terms(
-    docs: DataFrame, found: DataFrame, evidence: float = EVIDENCE, generalise: float = GENERALISE, remove: float = REMOVE
-) -> DataFrame:
-    """``entity``, ``term``, ``disclosure`` and ``removed`` of the terms above the threshold."""
-    # Documents that share a text are counted by the text's number of copies.
-    pairs = found.select("copies", F.explode("entities").alias("entity"), "terms").select("copies", "entity", F.explode("terms").alias("term"))
-    near = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-    entities = found.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    keys = Table(docs.select(text_key(F.col("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("copies"))).rows
-    total, texts = keys.agg(F.sum("copies"), F.count(F.lit(1))).first()
-    # Each copy of a text is its share of one text.
-    copied = broadcast_if_small(keys.filter("copies > 1"))
-    words = docs.select(text_key(F.col("text")).alias("key"), _words(F.col("text")).alias("words")).join(copied, "key", "left")
-    words = words.select(F.explode("words").alias("term"), (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("share"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"), F.sum("share").alias("t_texts"))
-    rows = near.join(entities, "entity").join(terms, "term")
-    information = F.log2(F.lit(float(total or 0)) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(total or 0)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+def _classes(found: DataFrame) -> DataFrame:
+    """``key``, ``copies``, ``terms`` and the ``classes`` (id, n_e) of the texts' entities: those of the same texts are one."""
+    each = found.select("key", "copies", F.explode("entities").alias("entity"))
+    # Which texts an entity is in, as two checksums of their keys.
+    where = [F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64(F.lit("again"), "key"))]
+    of = each.groupBy("entity").agg(F.struct(*where).alias("id"), F.sum("copies").alias("n_e"))
+    per_text = each.join(of, "entity").select("key", F.struct("id", "n_e").alias("one")).distinct()
+    per_text = per_text.groupBy("key").agg(F.collect_list("one").alias("classes"))
+    return found.select("key", "copies", "terms").join(per_text, "key")
+
+
+def disclosing_terms(docs: DataFrame, classed: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``id`` (of the class), ``term``, ``disclosure`` and ``removed`` of the terms above the threshold."""
+    pairs = classed.select("copies", F.explode("classes").alias("class"), "terms").select("copies", "class.*", F.explode("terms").alias("term"))
+    near = pairs.groupBy("id", "n_e", "term").agg(F.sum("copies").alias("n_et"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("term"))
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    total = F.lit(float(docs.count()))
+    rows = near.join(terms, "term")
+    information = F.log2(total / F.col("n_e"))
+    pmi = F.log2(total * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + 1)))
     rows = rows.withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
-    bits = F.col("texts") * F.log2(F.lit(float(texts)) / F.round("t_texts"))
-    rows = rows.filter((F.col("disclosure") >= generalise) & (bits >= evidence))
-    return rows.select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed"))
+    return rows.filter(F.col("disclosure") >= generalise).select("id", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed"))
 
 
 def _revealing(docs: DataFrame, **thresholds) -> DataFrame:
-    """``key`` and the ``_terms`` (term, removed) to treat in the texts with that digest."""
-    found = Table(mentions(docs)).rows
-    flagged = disclosing_terms(docs, found, **thresholds)
-    pairs = found.select("key", F.explode("entities").alias("entity")).join(flagged, "entity").groupBy("key", "term").agg(F.bool_or("removed").alias("removed"))
-    return Table(pairs.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("_terms"))).rows
+    """``key`` and the ``places`` (start, end, value, removed) of revealing terms in the text with that digest."""
+    classed = Table(_classes(Table(mentions(docs)).rows)).rows
+    flagged = disclosing_terms(docs, classed, **thresholds)
+    pairs = classed.select("key", F.explode("classes.id").alias("id")).join(flagged, "id").groupBy("key", "term").agg(F.bool_or("removed").alias("removed"))
+    pairs = Table(pairs).rows
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(broadcast_if_small(pairs.select("key").distinct()), "key", "left_semi")
+    words = texts.dropDuplicates(["key"]).select("key", F.explode(_located(F.col("text"), TERM, lambda v: F.lit(True))).alias("at"))
+    words = words.select("key", "at.*", F.lower("at.value").alias("term"))
+    placed = words.join(pairs, ["key", "term"])
+    return Table(placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value", "removed"))).alias("places"))).rows
+
+
+def _clear_of(terms: Column, spans: Column) -> Column:
+    """The terms that no span overlaps; one pass over both in order."""
+    # A term stands at its end, a span at its start: the spans before a term are those that start inside or before it.
+    ends = F.transform(terms, lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("reach"), t.alias("term")))
+    starts = F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("kind"), s["end"].alias("reach"), F.lit(None).cast(TERM_SPAN).alias("term")))
+    passed = _running(F.array_sort(F.concat(ends, starts)), lambda reach, x: F.greatest(reach, x["reach"]))
+    fine = F.filter(passed, lambda p: (p["item"]["kind"] == 0) & (p["before"] <= p["item"]["term"]["start"]))
+    return F.transform(fine, lambda p: p["item"]["term"])
 
 
 def find_spans(docs: DataFrame, few_terms: int = FEW_TERMS, **thresholds) -> DataFrame:
     """Add the identifiers' spans by kind, and ``term``: spans (start, end, value) with ``removed``."""
     docs = docs.drop(*ADDED)
+    columns = docs.columns
     revealing = _revealing(docs, **thresholds)
-    n = revealing.agg(F.sum(F.size("_terms"))).first()[0] or 0
+    n = revealing.agg(F.sum(F.size("places"))).first()[0] or 0
     side = F.broadcast(revealing) if n <= few_terms else revealing
-    rows = docs.withColumn("_key", text_key(F.col("text")))
-    rows = rows.join(side.withColumnRenamed("key", "_same"), F.col("_key") == F.col("_same"), "left").drop("_key", "_same")
-    marked = identifiers(rows)
-    known = F.map_contains_key
-    body = F.coalesce(F.col("text"), F.lit(""))
-    places = F.when(F.col("_terms").isNotNull(), _located(body, TERM, lambda v: known(F.col("_terms"), F.lower(v)))).otherwise(_none())
-    marked = marked.withColumn("term", places)
-    clear = lambda s: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    terms = F.when(F.size("term") > 0, F.filter("term", clear)).otherwise(_none())
-    removed = lambda s: F.struct(s["start"], s["end"], s["value"], F.element_at("_terms", F.lower(s["value"])).alias("removed"))
-    kind = "array<struct<start:int,end:int,value:string,removed:boolean>>"
-    full = F.when(F.size(terms) > 0, F.transform(terms, removed)).otherwise(F.array().cast(kind))
-    return marked.withColumn("term", full).drop("_terms")
+    # The row travels as one column, so that no name of its own meets those used here.
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("body"))
+    rows = rows.withColumn("own", text_key(F.col("body"))).join(side, F.col("own") == F.col("key"), "left").select("row", "body", "places")
+    marked = identifiers(rows, "body")
+    terms = F.when(F.col("places").isNotNull(), _clear_of(F.col("places"), F.concat(*KINDS))).otherwise(F.array().cast(f"array<{TERM_SPAN}>"))
+    return marked.select("row.*", *KINDS, terms.alias("term"))
 
 
 def span_list(*kinds: str) -> Column:
@@ -195,12 +235,23 @@ def sanitised(text: Column) -> Column:
     mark = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{k.upper()}>").alias("by")))
     term = F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], F.lit("")).otherwise(F.lit("<TERM>")).alias("by")))
     spans = F.array_sort(F.concat(*[mark(k) for k in KINDS], term))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        more = F.concat(state["out"], text.substr(state["at"] + 1, s["start"] - state["at"]), s["by"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(state["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    end = lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, end)).otherwise(text)
+    # Of overlapping spans the first one stands for all; the text goes on behind the last end.
+    passed = _running(spans, lambda at, s: F.greatest(at, s["end"]))
+    fresh = F.filter(passed, lambda p: p["item"]["start"] >= p["before"])
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    gaps = F.transform(fresh, lambda p: F.struct(p["before"].alias("from"), p["item"]["start"].alias("to"), p["item"]["by"].alias("by")))
+    gaps = F.concat(gaps, F.array(F.struct(last.alias("from"), F.length(text).alias("to"), F.lit("").alias("by"))))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+
+    def between(cuts: Column, gap: Column) -> Column:
+        """The text of a gap, put together from the pieces it lies in."""
+        first, final = F.floor(gap["from"] / _CUT).cast("int"), F.floor(F.greatest(gap["from"], gap["to"] - 1) / _CUT).cast("int")
+
+        def part(i: Column) -> Column:
+            low = F.greatest(gap["from"] - i * _CUT, F.lit(0))
+            return F.coalesce(F.substring(F.get(cuts, i), low + 1, F.least(gap["to"] - i * _CUT, F.lit(_CUT)) - low), F.lit(""))
+
+        return F.concat(F.array_join(F.transform(F.sequence(first, final), part), ""), gap["by"])
+
+    joined = _let(pieces, lambda cuts: F.array_join(F.transform(gaps, lambda gap: between(cuts, gap)), ""))
+    return F.when(F.size(spans) > 0, joined).otherwise(text)
