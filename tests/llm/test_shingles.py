@@ -46,11 +46,11 @@ def corpus():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("crowd, chunk", [(16, 1000), (1, 3), (2, 1000)])
-def test_keeps_what_all_pairs_keep(spark, crowd, chunk):
+@pytest.mark.parametrize("crowd, chunk, outsiders", [(16, 1000, 64), (1, 3, 0), (2, 1000, 3)])
+def test_keeps_what_all_pairs_keep(spark, crowd, chunk, outsiders):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in shingles.deduplicated(docs, crowd, chunk).collect()) == kept(rows)
+    assert sorted(r["doc_id"] for r in shingles.deduplicated(docs, crowd, chunk, outsiders).collect()) == kept(rows)
 
 
 def test_the_stage_drops_copies_beyond_four_bits(spark, small):
