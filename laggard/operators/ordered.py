@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from .quantiles import join_groups
 from .staging import BROADCAST_ROWS, stage
@@ -41,28 +41,65 @@ def with_global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank0"
     )
 
 
-def keys_at(
-    df: DataFrame, order: Sequence[Column], positions: Callable[[int], Sequence[int]]
-) -> tuple[int, dict[int, Row]]:
-    """Row count and the rows at some positions of the total order.
+_NARROWED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_ACCURACY = 10_000  # of the sketch: a bracket holds about 4 / _ACCURACY of the rows, ties apart
 
-    ``positions`` maps the row count to the few wanted 0-based positions.  Only
-    one count per partition and the wanted rows reach the driver.
-    """
+
+def _at_positions(df: DataFrame, order: Sequence[Column], wanted: Sequence[int]) -> dict[int, Row]:
+    """The rows at some positions, by sorting all given rows."""
     rows = _numbered(df, order)
     sizes = sorted((r["_pid"], r["count"]) for r in rows.groupBy("_pid").count().collect())
-    total = sum(n for _, n in sizes)
-    wanted = sorted({p for p in positions(total) if 0 <= p < total})
     where, start = {}, 0
     for pid, n in sizes:
         where.update({(pid, p - start): p for p in wanted if start <= p < start + n})
         start += n
     if not where:
-        return total, {}
+        return {}
     hit = F.lit(False)
     for pid, idx in where:
         hit = hit | ((F.col("_pid") == pid) & (F.col("_idx") == idx))
-    return total, {where[r["_pid"], r["_idx"]]: r for r in rows.filter(hit).collect()}
+    return {where[r["_pid"], r["_idx"]]: r for r in rows.filter(hit).collect()}
+
+
+def _brackets(df: DataFrame, first: Column, total: int, wanted: Sequence[int]) -> list[tuple[object, object, int, int]]:
+    """For each position values (low, high) of the first key around it, and how many rows lie below low and up to high.
+
+    Null and NaN keys have no bracket: nulls come first, NaN last, and both are counted.
+    """
+    sure = [min(1.0, max(0.0, p / total + d)) for p in wanted for d in (-2 / _ACCURACY, 2 / _ACCURACY)]
+    values = df.agg(F.percentile_approx(first, sure, _ACCURACY).alias("v")).first()["v"]
+    if values is None:
+        return []
+    pairs = list(zip(values[::2], values[1::2]))
+    counts = [c for low, high in pairs for c in (F.count_if(first.isNull() | (first < F.lit(low))), F.count_if(first.isNull() | (first <= F.lit(high))))]
+    got = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+    return [(low, high, got[2 * i], got[2 * i + 1]) for i, (low, high) in enumerate(pairs)]
+
+
+def keys_at(
+    df: DataFrame, order: Sequence[Column], positions: Callable[[int], Sequence[int]]
+) -> tuple[int, dict[int, Row]]:
+    """Row count and the rows at some positions of the total order (ascending, nulls first).
+
+    ``positions`` maps the row count to the few wanted 0-based positions.  A
+    sketch brackets the first key around each position, one pass counts the rows
+    below and inside the brackets, and only rows inside are sorted.  A position
+    that is not inside after all, or a first key that has no sketch, is found by
+    sorting all keys.
+    """
+    total = df.count()
+    wanted = sorted({p for p in positions(total) if 0 <= p < total})
+    if not wanted:
+        return total, {}
+    kind = df.select(order[0]).schema[0].dataType
+    out: dict[int, Row] = {}
+    if isinstance(kind, _NARROWED):
+        for p, (low, high, below, upto) in zip(wanted, _brackets(df, order[0], total, wanted)):
+            if below <= p < upto:
+                inside = df.filter((order[0] >= F.lit(low)) & (order[0] <= F.lit(high)))
+                out.update({p: r for r in _at_positions(inside, order, [p - below]).values()})
+    rest = [p for p in wanted if p not in out]
+    return total, out | (_at_positions(df, order, rest) if rest else {})
 
 
 # Rows one task may sort; beyond them the order is cut into ranges.

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
@@ -22,6 +25,20 @@ from .smote import balance_classes
 from .splits import calibration_holdout, stratified_folds
 
 
+def side_by_side(spark: SparkSession, work: Sequence[Callable[[], object]], at_once: int | None = None) -> list:
+    """Results of functions that each run Spark jobs, run at the same time.
+
+    A boosted fit is hundreds of short jobs in a row; several fits together fill
+    the cores that one leaves idle.  With ``spark.scheduler.mode`` FAIR no fit
+    waits for all jobs of another.  The first error is raised when all are done.
+    """
+    if not work:
+        return []
+    with ThreadPoolExecutor(at_once or len(work)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(one)) for one in work]
+    return [one.result() for one in started]
+
+
 @dataclass
 class SkewModel:
     """A fitted classifier with an optional isotonic or sigmoid calibration of its score."""
@@ -35,11 +52,10 @@ class SkewModel:
     def classifier(self):
         return self.pipeline.stages[-1]
 
-    def score(self, jobs: DataFrame) -> DataFrame:
-        """Add ``skew_probability`` to a job table."""
-        framed = training_frame(jobs.select(F.struct("*").alias("_row"), "*"), self.mode, keep=["_row"])
-        scored = self.pipeline.transform(framed.select("_row", "features"))
-        scored = scored.withColumn("_raw", _raw_score(self.name))
+    def add_score(self, framed: DataFrame, column: str) -> DataFrame:
+        """Add the calibrated probability of a frame with ``features``, and nothing else."""
+        before = framed.columns
+        scored = self.pipeline.transform(framed).withColumn("_raw", _raw_score(self.name))
         if isinstance(self.calibration, LogisticRegressionModel):
             slope, shift = float(self.calibration.coefficients[0]), float(self.calibration.intercept)
             p = 1 / (1 + F.exp(-(F.col("_raw") * slope + shift)))
@@ -48,13 +64,23 @@ class SkewModel:
             p = F.least(F.greatest(F.col("_calibrated"), F.lit(0.0)), F.lit(1.0))
         else:
             p = vector_to_array("probability")[1]
-        return scored.select("_row.*", p.alias("skew_probability"))
+        return scored.select(*before, p.alias(column))
+
+    def score(self, jobs: DataFrame) -> DataFrame:
+        """Add ``skew_probability`` to a job table."""
+        return self.add_score(_framed(jobs, self.mode), "_p").select("_row.*", F.col("_p").alias("skew_probability"))
 
     def predict(self, jobs: DataFrame, threshold: float | None = None) -> DataFrame:
         """Score a job table and add the prediction columns."""
         return add_predictions(self.score(jobs), self.name, threshold)
 
 
+def _framed(jobs: DataFrame, mode: str) -> DataFrame:
+    """Whole rows as ``_row`` beside their ``features``."""
+    framed = training_frame(jobs.select(F.struct("*").alias("_row"), "*"), mode, keep=["_row"])
+    return framed.select("_row", "features")
+
+
 def _raw_score(name: str):
     """What gets calibrated: the margin of the linear model, the probability of the trees."""
     return vector_to_array("rawPrediction" if name == "logistic_regression" else "probability")[1]
@@ -90,7 +116,8 @@ def estimator(name: str, weight_sum: float, rounds: int | None = None, trees: in
         )
         return Pipeline(stages=[scaler, lr])
     if name == "random_forest":
-        rf = RandomForestClassifier(numTrees=trees or 200, maxDepth=12, weightCol="weight", seed=seed)
+        # Deep trees: rows remember their nodes, instead of all trees so far being sent to every task of each level.
+        rf = RandomForestClassifier(numTrees=trees or 200, maxDepth=12, weightCol="weight", seed=seed, cacheNodeIds=True, checkpointInterval=10)
         return Pipeline(stages=[rf])
     if name == "xgboost":
         depth, share, least, rate = 6, "0.8", 1, 0.9
@@ -122,6 +149,7 @@ def fit_model(name: str, frame: DataFrame, mode: str = "pre_exec", **sizes) -> S
 
 
 CALIBRATIONS = ("isotonic", "sigmoid")
+ROWS_PER_TASK = 5_000  # below, another task costs more than it saves
 
 
 def calibrate(model: SkewModel, holdout: DataFrame, method: str = "isotonic") -> SkewModel:
@@ -133,8 +161,25 @@ def calibrate(model: SkewModel, holdout: DataFrame, method: str = "isotonic") ->
         scored = scored.withColumn("_raw", array_to_vector(F.array("_raw")))
         curve = LogisticRegression(featuresCol="_raw", labelCol="label", standardization=False).fit(scored)
         return SkewModel(model.name, model.pipeline, curve, model.mode)
-    iso = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_calibrated").fit(scored)
-    return SkewModel(model.name, model.pipeline, iso, model.mode)
+    return SkewModel(model.name, model.pipeline, isotonic_curve(scored), model.mode)
+
+
+def isotonic_curve(scored: DataFrame) -> IsotonicRegressionModel:
+    """Isotonic regression of ``label`` on ``_raw``; rows of one score are counted first, so the fit sees distinct scores."""
+    steps = scored.groupBy("_raw").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return IsotonicRegression(featuresCol="_raw", labelCol="label", weightCol="weight", predictionCol="_calibrated").fit(steps)
+
+
+def logistic_slopes(model: SkewModel, frame: DataFrame) -> DataFrame:
+    """(feature, slope) of the mean weighted loss with its L2 penalty at the fitted coefficients."""
+    weighted, _, total = class_weights(frame)
+    scored = model.pipeline.transform(weighted)
+    gap = F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))
+    names, coefficients = feature_columns(model.mode), model.classifier.coefficients.toArray()
+    rows = scored.select(vector_to_array("scaled").alias("x"), gap.alias("gap"))
+    sums = [F.sum(F.col("gap") * F.col("x")[i]) + F.lit(float(c)) for i, c in enumerate(coefficients)] + [F.sum("gap")]
+    slopes = rows.agg(F.array(*[x / F.lit(max(total, 1.0)) for x in sums]).alias("slopes"))
+    return slopes.select(F.explode(F.arrays_zip(F.array(*map(F.lit, [*names, "intercept"])).alias("feature"), F.col("slopes").alias("slope"))).alias("s")).select("s.*")
 
 
 class ModelSet(dict):
@@ -145,6 +190,19 @@ class ModelSet(dict):
         self.failed: dict[str, str] = {}
 
 
+def _shared(frame: DataFrame) -> DataFrame:
+    """The (features, label) frame that all fits read, kept in as many partitions as there are cores, fewer for few rows."""
+    frame = frame.select("features", "label").persist()
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    wanted = max(1, min(cores, frame.count() // ROWS_PER_TASK))
+    if frame.rdd.getNumPartitions() <= wanted:
+        return frame
+    narrow = frame.coalesce(wanted).persist()
+    narrow.count()
+    frame.unpersist()
+    return narrow
+
+
 def train_models(
     jobs: DataFrame,
     names: Sequence[str] = MODELS,
@@ -169,18 +227,26 @@ def train_models(
     frame = training_frame(fit_jobs, mode)
     if use_smote:
         frame = balance_classes(frame, seed=seed)
-    frame = frame.select("features", "label").persist()
+    spark = jobs.sparkSession
+    frame = _shared(frame)
     held = training_frame(holdout, mode).select("features", "label").persist() if holdout is not None else None
+
+    def fit(name: str) -> SkewModel | Exception:
+        try:
+            model = fit_model(name, frame, mode, rounds=rounds, trees=trees, seed=seed)
+            return model if held is None else calibrate(model, held, calibration_method)
+        except Exception as error:
+            if name not in ("xgboost", "lightgbm"):
+                raise
+            return error
+
     models = ModelSet()
     try:
-        for name in names:
-            try:
-                model = fit_model(name, frame, mode, rounds=rounds, trees=trees, seed=seed)
-                models[name] = model if held is None else calibrate(model, held, calibration_method)
-            except Exception as error:
-                if name not in ("xgboost", "lightgbm"):
-                    raise
-                models.failed[name] = str(error)
+        for name, result in zip(names, side_by_side(spark, [partial(fit, n) for n in names])):
+            if isinstance(result, Exception):
+                models.failed[name] = str(result)
+            else:
+                models[name] = result
     finally:
         frame.unpersist()
         if held is not None:
@@ -215,13 +281,19 @@ def load_models(spark: SparkSession, path: str) -> dict[str, SkewModel]:
 
 
 def model_scores(models: dict[str, SkewModel], jobs: DataFrame) -> DataFrame:
-    """Long (model, job...) frame of all models' probabilities."""
+    """Long (model, job...) frame of all models' probabilities; the jobs are read once for all models of a mode."""
+    if not models:
+        raise ValueError("No models given")
     out = None
-    for name, model in models.items():
-        part = model.score(jobs).withColumn("model", F.lit(name))
+    for mode in sorted({m.mode for m in models.values()}):
+        some = {n: m for n, m in models.items() if m.mode == mode}
+        framed = _framed(jobs, mode)
+        for i, model in enumerate(some.values()):
+            framed = model.add_score(framed, f"_p{i}")
+        each = F.array(*[F.struct(F.col(f"_p{i}").alias("p"), F.lit(n).alias("m")) for i, n in enumerate(some)])
+        part = framed.select("_row", F.explode(each).alias("_one"))
+        part = part.select("_row.*", F.col("_one.p").alias("skew_probability"), F.col("_one.m").alias("model"))
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("No models given")
     return out
 
 
@@ -247,25 +319,28 @@ def cross_validate(
     jobs: DataFrame, names: Sequence[str] = MODELS, n_folds: int = 5, seed: int = 42, mode: str = "pre_exec", **sizes
 ) -> DataFrame:
     """Mean and std of F1 and accuracy over stratified folds, and whether F1 is stable (std below 0.1)."""
+    spark = jobs.sparkSession
     folds = stratified_folds(jobs, n_folds, seed=seed).persist()
-    parts = None
+    frames = [_shared(training_frame(folds.filter(F.col("fold") != k), mode)) for k in range(n_folds)]
     try:
-        for fold in range(n_folds):
-            fit = training_frame(folds.filter(F.col("fold") != fold), mode).select("features", "label").persist()
-            test = folds.filter(F.col("fold") == fold).drop("fold")
-            models = {n: fit_model(n, fit, mode, **sizes) for n in names}
-            called = model_scores(models, test).select(
+        work = [(k, n) for n in names for k in range(n_folds)]
+        fits = side_by_side(spark, [partial(fit_model, n, frames[k], mode, **sizes) for k, n in work])
+
+        def measured(k: int) -> list:
+            models = {n: m for (fold, n), m in zip(work, fits) if fold == k}
+            called = model_scores(models, folds.filter(F.col("fold") == k).drop("fold")).select(
                 "model",
                 F.col("is_skewed").alias("label"),
                 (F.col("skew_probability") > 0.5).cast("int").alias("prediction"),
             )
-            # Four numbers per model and fold: kept as rows so the folds' frames can be released.
-            rows = long_metrics(class_metrics(called)).filter("metric IN ('f1_score', 'accuracy')").collect()
-            part = jobs.sparkSession.createDataFrame(rows, "model string, metric string, value double")
-            parts = part if parts is None else parts.unionByName(part)
-            fit.unpersist()
+            # Two numbers per model and fold.
+            return long_metrics(class_metrics(called)).filter("metric IN ('f1_score', 'accuracy')").collect()
+
+        rows = [r for part in side_by_side(spark, [partial(measured, k) for k in range(n_folds)]) for r in part]
+        parts = spark.createDataFrame(rows, "model string, metric string, value double")
     finally:
-        folds.unpersist()
+        for frame in (*frames, folds):
+            frame.unpersist()
     summary = rolling_summary(parts)
     pick = lambda m, f: F.max(F.when(F.col("metric") == m, F.col(f)))
     out = summary.groupBy("model").agg(

@@ -21,6 +21,7 @@ from ..operators.quantiles import exact_quantiles
 from ..operators.staging import stage, stage_root
 from ..schemas import EVENT13
 from ..sources.generate import jobs_for_keys, labelled_columns
+from ..sources.mart import read_mart, write_mart
 from ..sources.trace import read_trace
 from ..sources.tables import EVENT_CODES, activity_trace, item_tasks, order_attributes, order_trace
 from ..streaming import live
@@ -1063,6 +1064,53 @@ def transfer_matrix(spark, folder):
     return pipeline.transfer_matrix(origins, hybrid=("real", "generated"))
 
 
+# ------------------------------------------------ learning beside a formula
+
+
+@query(f"""WITH {SCORES}, steps AS (
+  SELECT score, sum(is_skewed)::DOUBLE AS y, count(*)::DOUBLE AS n FROM scores WHERE model = 'random_forest' GROUP BY score),
+blocks AS (
+  SELECT a.score AS low, b.score AS high, sum(s.y) / sum(s.n) AS m
+  FROM steps a JOIN steps b ON a.score <= b.score JOIN steps s ON s.score BETWEEN a.score AND b.score GROUP BY a.score, b.score),
+least_after AS (
+  SELECT x.score, k.low, min(k.m) AS m FROM steps x JOIN blocks k ON k.low <= x.score AND k.high >= x.score GROUP BY x.score, k.low)
+SELECT score, round(max(m), 9) AS calibrated FROM least_after GROUP BY score""")
+def isotonic_calibration(spark, folder):
+    """The isotonic curve through a score, at each of its values; SQL has the max-min formula."""
+    rows = rule_scores(spark, folder).filter("model = 'random_forest'").select(F.col("score").alias("_raw"), "label")
+    curve = train.isotonic_curve(rows)
+    return rounded(curve.transform(rows.select("_raw").distinct()).select(F.col("_raw").alias("score"), F.col("_calibrated").alias("calibrated")), 9, "calibrated")
+
+
+@query(f"""WITH {FEATS}, {STATS}, c AS (
+  SELECT count(*)::DOUBLE AS n, count(*) FILTER (is_skewed = 1)::DOUBLE AS pos FROM feats JOIN labelled USING (job_id))
+SELECT round((n - pos) / pos, 9) AS ratio, round(n / (2 * pos), 9) AS weight_1, round(n / (2 * (n - pos)), 9) AS weight_0, n AS weight_sum FROM c""")
+def class_ratio(spark, folder):
+    """Ratio of the classes and their balanced weights."""
+    weighted, ratio, total = train.class_weights(features.training_frame(trained_jobs(spark, folder)))
+    of = lambda label: F.max(F.when(F.col("label") == label, F.col("weight")))
+    out = weighted.agg(F.lit(ratio).alias("ratio"), of(1).alias("weight_1"), of(0).alias("weight_0"), F.sum("weight").alias("weight_sum"))
+    return rounded(rounded(out, 9, "ratio", "weight_1", "weight_0"), 3, "weight_sum")
+
+
+@query("SELECT unnest(['num_tasks', 'scheduling_class', 'priority', 'cpu_request_mean', 'cpu_request_std', 'memory_request_mean', 'memory_request_std', "
+       "'disk_space_request_mean', 'disk_space_request_std', 'different_machine_constraint_mean', 'intercept']) AS feature, 0.0::DOUBLE AS slope")
+def logistic_optimum(spark, folder):
+    """Slope of the penalised loss at the fitted logistic regression; at its minimum all are 0."""
+    frame = features.training_frame(trained_jobs(spark, folder))
+    slopes = train.logistic_slopes(train.fit_model("logistic_regression", frame), frame)
+    # Adding 0 turns a rounded -0.0 into 0.0.
+    return slopes.select("feature", (F.round("slope", 5) + F.lit(0.0)).alias("slope"))
+
+
+@query(f"""WITH {FEATS}, {STATS} SELECT job_id, num_tasks, is_skewed FROM feats JOIN labelled USING (job_id)""")
+def stored_mart(spark, folder):
+    """The job mart written to storage and read back."""
+    path = f"{stage_root(spark)}/laggard/{uuid.uuid4().hex}"
+    write_mart(direct_mart(order_trace(spark, folder)), path)
+    return read_mart(spark, path).select("job_id", "num_tasks", "is_skewed")
+
+
 def _live_sql() -> str:
     def u(low, high, name):
         d = sql_draw(0, "o_orderkey").replace("md5('0:'", f"md5('42-{name}:'")
