@@ -16,9 +16,10 @@ Equal vectors are searched once and counted with their number.  A crowded cell
 is cut into chunks and every pair of chunks is one bounded group; groups return
 counts and links of a spanning forest, never pairs.
 
-Vectors that are null, empty, zero or hold null or non-finite components, and
-vectors whose length is not the table's most frequent one, link with nothing.
-Repeated rows are vectors of their own; null ids are never the smallest id.  An
+Vectors that are null, empty, zero or hold null or non-finite components link with
+nothing.  Vectors link with those of their own length; each length has an index of its own,
+the sample being shared among them, and lengths beyond the ``LENGTHS`` commonest are a
+cell each.  Repeated rows are vectors of their own; null ids are never the smallest id.  An
 empty table gives an empty result.
 """
 
@@ -39,6 +40,7 @@ SAMPLE = 20_000
 CELL_ROWS = 64
 CHUNK = 1_024
 TARGET_RECALL = 0.98
+LENGTHS = 100
 PROBED = 2_000  # sample vectors that measure how many cells to visit
 
 
@@ -116,23 +118,29 @@ def visited(x: np.ndarray, index: MultiIndex) -> np.ndarray:
     return np.take_along_axis(near_a, i[order], 1) * k + np.take_along_axis(near_b, j[order], 1)
 
 
-def _probe(batches: Iterator[pd.DataFrame], index: MultiIndex) -> Iterator[pd.DataFrame]:
+def _one_cell(length: int) -> MultiIndex:
+    return MultiIndex(np.zeros((1, length // 2)), np.zeros((1, length - length // 2)), 1)
+
+
+def _probe(batches: Iterator[pd.DataFrame], indexes: dict[int, MultiIndex]) -> Iterator[pd.DataFrame]:
     """Each vector once as a member of its cell and once for every cell it visits."""
-    rows = max(1, 100_000 // index.visits)
     for batch in batches:
-        for at in range(0, len(batch), rows):
-            part = batch.iloc[at : at + rows]
-            vectors = np.stack(part["embedding"].to_numpy())
-            cells = visited(unit(vectors), index)
-            raw = [v.tobytes() for v in vectors.astype(np.float64)]
-            own = {"cid": part["cid"].to_numpy(), "n": part["n"].to_numpy(), "home": cells[:, 0], "vector": raw}
-            visits = [c.astype(np.int64).tobytes() for c in cells]
-            yield pd.DataFrame({"cell": cells[:, 0], "member": True, **own, "visits": visits})
-            t, who = cells.shape[1], np.repeat(np.arange(len(part)), cells.shape[1])
-            yield pd.DataFrame({
-                "cell": cells.ravel(), "member": False, "cid": own["cid"][who], "n": own["n"][who],
-                "home": own["home"][who], "vector": [raw[w] for w in who], "visits": [b""] * (t * len(part)),
-            })
+        for length, alike in batch.groupby("length"):
+            index = indexes.get(length) or _one_cell(length)
+            rows = max(1, 100_000 // index.visits)
+            for at in range(0, len(alike), rows):
+                part = alike.iloc[at : at + rows]
+                vectors = np.stack(part["embedding"].to_numpy())
+                cells = visited(unit(vectors), index)
+                raw = [v.tobytes() for v in vectors.astype(np.float64)]
+                own = {"cid": part["cid"].to_numpy(), "n": part["n"].to_numpy(), "home": cells[:, 0], "vector": raw}
+                visits = [c.astype(np.int64).tobytes() for c in cells]
+                yield pd.DataFrame({"length": length, "cell": cells[:, 0], "member": True, **own, "visits": visits})
+                t, who = cells.shape[1], np.repeat(np.arange(len(part)), cells.shape[1])
+                yield pd.DataFrame({
+                    "length": length, "cell": cells.ravel(), "member": False, "cid": own["cid"][who], "n": own["n"][who],
+                    "home": own["home"][who], "vector": [raw[w] for w in who], "visits": [b""] * (t * len(part)),
+                })
 
 
 def _compare(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -165,35 +173,53 @@ def _compare(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"cid": np.r_[qid, iid], "links": np.r_[q_links, i_links], "least": np.r_[q_least, i_least]})
 
 
+def _indexes(classes: DataFrame, threshold: float, target_recall: float, sample: int) -> dict[int, MultiIndex]:
+    """An index for each of the ``LENGTHS`` commonest lengths, fitted on its share of the sample."""
+    counts = {r["length"]: r["count"] for r in classes.groupBy("length").count().orderBy(F.desc("count"), "length").limit(LENGTHS).collect()}
+    if not counts:
+        return {}
+    # Room that a length does not need goes to the longer tables.
+    share, left = {}, sample
+    for i, (length, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], c[0]))):
+        share[length] = min(n, max(1, left // (len(counts) - i)))
+        left -= share[length]
+    # About 1.2 times as many by hash, cut to the share on the driver.
+    top = 1 << 32
+    part = {length: min(top, int(top * (1.2 * share[length] + 20) / n)) for length, n in counts.items()}
+    below = F.element_at(F.create_map(*[F.lit(x) for p in part.items() for x in p]), F.col("length"))
+    h = F.xxhash64("embedding")
+    drawn = classes.withColumn("h", F.pmod(h, F.lit(top))).filter(F.col("h") < below).select("length", "h", "embedding").collect()
+    drawn = sorted(drawn, key=lambda r: (r["h"], r["embedding"]))
+    out = {}
+    for length, n in counts.items():
+        own = [r["embedding"] for r in drawn if r["length"] == length][: share[length]]
+        out[length] = fit_index(unit(np.array(own)), n, threshold, target_recall) if len(own) else _one_cell(length)
+    return out
+
+
 def near_vectors(
     vectors: DataFrame, threshold: float = 0.95, target_recall: float = TARGET_RECALL, sample: int = SAMPLE, chunk: int = CHUNK,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row of (vec_id, embedding)."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.withColumn("_len", F.when(usable(F.col("embedding")), F.size("embedding")))
-    lengths = rows.filter("_len IS NOT NULL").groupBy("_len").count().orderBy(F.desc("count"), "_len").first()
-    if lengths is None:
-        rest = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return rest.withColumn("kept", F.lit(True))
-    fits = F.col("_len").eqNullSafe(lengths["_len"])
-    good = rows.filter(fits).select("vec_id", "embedding")
+    fits = usable(F.col("embedding"))
+    good = rows.filter(fits)
     classes = good.groupBy("embedding").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
-    classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()))
-    drawn = classes.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(sample).collect()
-    index = fit_index(unit(np.array([r["embedding"] for r in drawn])), classes.count(), threshold, target_recall)
+    classes = stage(classes.withColumns({"cid": F.monotonically_increasing_id(), "length": F.size("embedding")}))
+    indexes = _indexes(classes, threshold, target_recall, sample)
     probes = classes.mapInPandas(
-        lambda it: _probe(it, index), "cell long, member boolean, cid long, n long, home long, vector binary, visits binary"
+        lambda it: _probe(it, indexes), "length int, cell long, member boolean, cid long, n long, home long, vector binary, visits binary"
     )
     probes = stage(probes)
     # One row per cell; a cell with many rows is dealt to (searching chunk, member chunk) groups.
     pieces = lambda of: F.greatest(F.lit(1), F.ceil(F.count_if(of) / chunk)).cast("int")
-    cells = stage(probes.groupBy("cell").agg(pieces(F.col("member")).alias("mc"), pieces(~F.col("member")).alias("qc")))
+    cells = stage(probes.groupBy("length", "cell").agg(pieces(F.col("member")).alias("mc"), pieces(~F.col("member")).alias("qc")))
     mine = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
     member, all_ = F.col("member"), lambda n: F.sequence(F.lit(0), n - 1)
-    dealt = probes.join(cells, "cell").withColumn("_m", F.when(member, F.array(mine(F.col("mc")))).otherwise(all_(F.col("mc"))))
+    dealt = probes.join(cells, ["length", "cell"]).withColumn("_m", F.when(member, F.array(mine(F.col("mc")))).otherwise(all_(F.col("mc"))))
     dealt = dealt.withColumn("_q", F.when(member, all_(F.col("qc"))).otherwise(F.array(mine(F.col("qc")))))
     dealt = dealt.withColumn("m", F.explode("_m")).withColumn("q", F.explode("_q")).drop("_m", "_q", "mc", "qc")
-    found = stage(dealt.groupBy("cell", "q", "m").applyInPandas(lambda b: _compare(b, threshold), "cid long, links long, least long"))
+    found = stage(dealt.groupBy("length", "cell", "q", "m").applyInPandas(lambda b: _compare(b, threshold), "cid long, links long, least long"))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     members = connected_components(found.select("cid", "least"), "cid", "least").toDF("cid", "root")
     of = classes.join(links, "cid", "left").join(members, "cid", "left")

@@ -60,3 +60,22 @@ def test_cells_come_nearest_first():
     sums = (E._squared(x[:, :4], index.first)[:, :, None] + E._squared(x[:, 4:], index.second)[:, None, :]).reshape(20, -1)
     for row, order in zip(sums, cells):
         assert np.allclose(row[order], np.sort(row)[: index.visits])
+
+
+@pytest.mark.parametrize("lengths", [E.LENGTHS, 1])
+def test_lengths_have_indexes_of_their_own(spark, monkeypatch, lengths):
+    monkeypatch.setattr(E, "LENGTHS", lengths)
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for first, (dim, n) in zip((0, 1_000, 2_000, 3_000), ((12, 300), (8, 120), (3, 40), (1, 5))):
+        v = rng.standard_normal((n, dim))
+        v[n // 2 :] = v[: n - n // 2] + 0.02 * rng.standard_normal((n - n // 2, dim))
+        ids = list(range(first, first + n))
+        rows += list(zip(ids, v.tolist()))
+        want |= truth(ids, v, 0.95)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_vectors(df, 0.95).collect()}
+    assert set(got) == set(want)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+    assert all(got[i] == want[i] for i in want if i >= 2_000)
