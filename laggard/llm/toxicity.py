@@ -9,8 +9,10 @@ and softmax are trained jointly in numpy on the driver: whole texts first, then
 the passage that scores highest in each toxic text and all passages of clean ones.  A misspelling never seen in
 training shares most n-gram vectors with the word it stands for.
 
-Learned from at most ``per_class`` toxic and twice as many clean texts of at most
-``LONGEST`` characters, drawn by hash.  Every text is scored whole.  Null and
+Learned from at most ``per_class`` toxic and twice as many clean texts, drawn by
+hash.  They have ``CHARACTERS`` characters between them: short texts are taken whole
+and leave their room to longer ones, of which a window at a pseudo-random place is
+taken, ``LONGEST`` characters at least.  Every text is scored whole.  Null and
 empty texts score as a passage without n-grams.  Rows are judged one by one, so
 repeated rows agree.  Without both classes to learn from all scores are 0.
 """
@@ -32,6 +34,7 @@ PASSAGE = 8
 DIMENSIONS = 8
 PER_CLASS = 800  # toxic texts; twice as many clean ones
 LONGEST = 4_000
+CHARACTERS = 4_000_000
 ROUNDS = 70
 STEP = 4.0
 DECAY = 0.005
@@ -179,17 +182,36 @@ def toxicity(text: Column, model: Model) -> Column:
     return of(text)
 
 
+def _room(sizes: list[int]) -> int:
+    """Characters that are taken of a text at most, so that these texts have ``CHARACTERS`` together."""
+    left, rest = CHARACTERS, sorted(sizes)
+    for i, size in enumerate(rest):
+        if size * (len(rest) - i) > left:
+            return max(LONGEST, left // (len(rest) - i))
+        left -= size
+    return max([LONGEST, *rest[-1:]])
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``per_class`` toxic and twice as many clean rows; ``labels`` has doc_id and toxic.
 
     The labels are few and narrow: ids are drawn from them alone, by hash, and
     only then are their texts looked up with a broadcast of at most
-    ``3 * per_class`` ids.
+    ``3 * per_class`` ids.  Lengths are read first, as they say how much of a text
+    is taken.  Texts of a repeated id count as often as they stand there.
     """
     rows = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id"))
     drawn = [rows.filter(F.col("toxic") == c).orderBy("h", "doc_id").limit(n) for c, n in ((0, 2 * per_class), (1, per_class))]
     drawn = F.broadcast(stage(drawn[0].union(drawn[1])))
-    found = docs.filter(F.length("text") <= LONGEST).select("doc_id", "text").join(drawn, "doc_id").select("h", "text", "toxic")
-    rows = sorted(found.collect(), key=lambda r: (r["h"], r["text"]))[: 3 * per_class]
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(drawn, "doc_id")
+    texts = texts.select("h", "toxic", "text", F.xxhash64("text").alias("t"), F.length("text").alias("size"))
+    most = 3 * per_class
+    found = texts.groupBy("h", "t").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).orderBy("h", "t").limit(most).collect()
+    copies = {(r["h"], r["t"]): r["n"] for r in found}
+    room = _room([r["size"] for r in found for _ in range(min(r["n"], most))][:most])
+    place = F.pmod(F.xxhash64("h", "t"), F.greatest(F.col("size") - room + 1, F.lit(1))).cast("int") + 1
+    parts = texts.select("h", "t", "toxic", F.col("text").substr(place, F.lit(room)).alias("part"))
+    rows = parts.dropDuplicates(["h", "t"]).orderBy("h", "t").limit(most).collect()
+    rows = [r for r in rows for _ in range(min(copies[r["h"], r["t"]], most))][:most]
+    return [r["part"] for r in rows], [r["toxic"] for r in rows]

@@ -41,3 +41,29 @@ def test_odd_texts(spark):
     labels = spark.createDataFrame([(3, 1), (None, 1), (1, None), (2, 0), (3, 1)], "doc_id long, toxic int")
     texts, marks = toxicity.labelled_texts(docs, labels)
     assert sorted(zip(texts, marks)) == [("", 0), ("x", 1), ("x", 1)]
+
+
+def test_long_and_repeated_labelled_texts(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghilmnorstu", k=rng.randint(3, 8))) for _ in range(300)]
+    text = lambda bad: " ".join(rng.choices(words, k=500) + ["what a worthless idiot"] * bad + rng.choices(words, k=500))
+    rows = [(i, text(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    assert min(len(t) for _, t in rows) > toxicity.LONGEST
+    texts, marks = toxicity.labelled_texts(docs, labels)
+    assert sorted(texts) == sorted(t for _, t in rows) and sum(marks) == 20
+    got = toxicity.scores(toxicity.train(texts, marks), ["a worthless idiot", "".join(rows[1][1])])
+    assert got[0] > 0.5 > got[1]
+    # One id holds nearly all rows: no more than the wanted number comes to the driver.
+    hot = docs.union(spark.range(5_000).selectExpr("59L", "concat('row ', id)"))
+    texts, marks = toxicity.labelled_texts(hot, labels.filter("doc_id IN (57, 59)"), per_class=5)
+    assert len(texts) == 15 and toxicity.labelled_texts(docs, labels.limit(0)) == ([], [])
+
+
+def test_room_of_long_texts():
+    total = toxicity.CHARACTERS
+    assert toxicity._room([]) == toxicity._room([3]) == toxicity.LONGEST
+    assert toxicity._room([10, 50_000]) == 50_000
+    assert toxicity._room([total, total, 0]) == total // 2
+    assert toxicity._room([9_000] * 2_400) == toxicity.LONGEST
