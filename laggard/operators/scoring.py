@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.coerce import number
 from ..functions.scoring import confidence, recommendation, resolve_threshold, tertile_band, threshold_of
@@ -63,17 +63,42 @@ HISTORY_WEIGHTS = {
 PROBABILITY_WEIGHT = 0.60
 
 
-def history_score(rows: DataFrame) -> DataFrame:
-    """Add ``demo_score``: the probability mixed with submit features scaled over all ``rows``."""
-    value = {c: F.coalesce(number(rows, c), F.lit(0.0)) for c in HISTORY_WEIGHTS if c in rows.columns}
-    limits = [x for c, v in value.items() for x in (F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}"))]
-    bounds = rows.agg(*limits).first() if limits else {}
+#: (least, largest) value of each weighted column.
+Limits = dict[str, tuple[float, float]]
+
+
+def _weighted(rows: DataFrame) -> dict[str, Column]:
+    return {c: F.coalesce(number(rows, c), F.lit(0.0)) for c in HISTORY_WEIGHTS if c in rows.columns}
+
+
+def history_limits(rows: DataFrame) -> Limits:
+    """Limits of the weighted columns over all ``rows``; empty without rows."""
+    value = _weighted(rows)
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *[x for c, v in value.items() for x in (F.min(v).alias(f"min_{c}"), F.max(v).alias(f"max_{c}"))]).first()
+    return {c: (found[f"min_{c}"], found[f"max_{c}"]) for c in value} if found["n"] else {}
+
+
+def demo_score(rows: DataFrame, limits: Limits) -> Column:
+    """The probability mixed with submit features scaled between their limits."""
     score = F.coalesce(number(rows, "skew_probability"), F.lit(0.0)) * PROBABILITY_WEIGHT
-    for c, v in value.items():
-        low, high = bounds[f"min_{c}"], bounds[f"max_{c}"]
-        if low is not None and high > low:
+    for c, v in _weighted(rows).items():
+        low, high = limits.get(c, (0.0, 0.0))
+        if high > low:
             score = score + (v - F.lit(low)) / F.lit(high - low) * HISTORY_WEIGHTS[c]
-    return rows.withColumn("demo_score", score)
+    return score
+
+
+def history_score(rows: DataFrame) -> DataFrame:
+    """Add ``demo_score``, its limits taken over all ``rows``."""
+    return rows.withColumn("demo_score", demo_score(rows, history_limits(rows)))
+
+
+def band_ends(n: int) -> tuple[int, int]:
+    """Last 0-based positions of the bands low and medium among n rows, -1 for an empty band."""
+    # rank / n <= share holds for the first positions only.
+    near = ([p for p in range(int(n * s) - 1, int(n * s) + 2) if p >= 0 and (p + 1) / n <= s] if n else [] for s in (1 / 3, 2 / 3))
+    low, medium = (max(found, default=-1) for found in near)
+    return low, medium
 
 
 def history_confidence(new: DataFrame, history: DataFrame | None = None, arrival: Sequence[str] = ("job_id",)) -> DataFrame:
@@ -92,14 +117,10 @@ def history_confidence(new: DataFrame, history: DataFrame | None = None, arrival
     scored = history_score(both)
     order = ["demo_score", "_new", *arrival]
 
-    def last_of_band(n: int) -> list[int]:
-        # rank / n <= share holds for the first positions only.
-        return [max((p for p in range(int(n * s) - 1, int(n * s) + 2) if p >= 0 and (p + 1) / n <= s), default=-1) for s in (1 / 3, 2 / 3)]
-
-    n, rows = keys_at(scored.select(*order), [F.col(c) for c in order], last_of_band)
+    n, rows = keys_at(scored.select(*order), [F.col(c) for c in order], band_ends)
     band = F.lit("high")
     key = F.struct(*order)
-    for name, at in zip(("medium", "low"), reversed(last_of_band(n) if n else [-1, -1])):
+    for name, at in zip(("medium", "low"), reversed(band_ends(n))):
         if at in rows:
             cut = F.struct(*[F.lit(rows[at][c]).cast(scored.schema[c].dataType).alias(c) for c in order])
             band = F.when(key <= cut, name).otherwise(band)

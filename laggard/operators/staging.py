@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 200_000
 
 _STAGED: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -36,16 +40,35 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark)}/laggard/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STAGED.append(path)
+    scope = _SCOPE.get()
+    (_STAGED if scope is None else scope).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder on whatever file system it lies; False if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
+@contextmanager
+def staged_here(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside; nothing staged elsewhere is touched."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in paths:
+            delete_folder(spark, path)
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables this process staged; call it when their results are written."""
-    jvm, conf, done = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    done = 0
     while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        done += bool(path.getFileSystem(conf).delete(path, True))
+        done += delete_folder(spark, _STAGED.pop())
     return done
 
 
