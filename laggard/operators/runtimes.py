@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.coerce import ID_ALIASES, alias_columns, coerce_numbers, number
 from ..schemas import FINISH, SUBMIT, require_columns
-from .ordered import hot_keys, with_running_sums
+from .ordered import hot_keys, with_global_rank, with_running_sums
+from .staging import broadcast_if_small, stage
 
 MICROS_CUTOFF = 1e10  # a larger maximum means the runtimes are microseconds
 TASK = ["job_id", "task_index"]
 HOT_TASK_ROWS = 1_000_000
+HOT_PAIRS = 10_000_000  # submits x finishes of one task from which they are joined in blocks
+PAIR_BLOCK = 2_000  # events of one side in a block
 
 
 def scale_runtimes(df: DataFrame, unit: str = "auto") -> DataFrame:
@@ -46,22 +49,34 @@ def direct_runtimes(df: DataFrame, unit: str = "auto") -> DataFrame:
     return scale_runtimes(df, unit).filter("runtime > 0")
 
 
-def event_runtimes(df: DataFrame) -> DataFrame:
+def event_runtimes(df: DataFrame, hot_pairs: int = HOT_PAIRS, block: int = PAIR_BLOCK) -> DataFrame:
     """One row per (submit, later finish) of the same task.
 
     A task submitted s times and finished f times gives up to s*f rows; the job
-    columns come from the SUBMIT side.  Use :func:`event_job_stats` when only
-    the per-job statistics are needed: it never forms the pairs.
+    columns come from the SUBMIT side.  Tasks with s*f over ``hot_pairs`` are
+    counted first and joined in blocks of ``block`` events a side, so that no
+    task of the cluster makes more than block * block pairs of one key.  Use
+    :func:`event_job_stats` when only the per-job statistics are needed: it
+    never forms the pairs.
     """
     df = alias_columns(df, ID_ALIASES)
     require_columns(df, [*TASK, "event_type", "timestamp"], "event trace")
     extra = [c for c in ("scheduling_class", "priority") if c in df.columns]
     submits = df.filter(F.col("event_type") == SUBMIT).select(*TASK, F.col("timestamp").alias("start_time"), *extra)
-    finishes = df.filter(F.col("event_type") == FINISH).select(
-        *[F.col(c).alias(f"_f_{c}") for c in TASK], F.col("timestamp").alias("end_time")
-    )
-    same_task = [F.col(c) == F.col(f"_f_{c}") for c in TASK]
-    pairs = submits.join(finishes, [*same_task, F.col("end_time") > F.col("start_time")])
+    finishes = df.filter(F.col("event_type") == FINISH).select(*TASK, F.col("timestamp").alias("end_time"))
+    sides = [F.count_if(F.col("event_type") == code) for code in (SUBMIT, FINISH)]
+    sizes = df.groupBy(*TASK).agg(*[n.alias(f"_n{i}") for i, n in enumerate(sides)])
+    # A task of null ids has no pairs.
+    hot = stage(sizes.filter(F.col("_n0") * F.col("_n1") > hot_pairs).select(*TASK).dropna())
+    later = F.col("end_time") > F.col("start_time")
+    if hot.isEmpty():
+        pairs = submits.join(finishes, TASK).filter(later)
+    else:
+        few = broadcast_if_small(hot)
+        plain = [side.join(few, TASK, "left_anti") for side in (submits, finishes)]
+        pairs = plain[0].join(plain[1], TASK).filter(later)
+        hot_sides = [side.join(few, TASK, "left_semi") for side in (submits, finishes)]
+        pairs = pairs.unionByName(_pairs_in_blocks(*hot_sides, block))
     return pairs.select(
         F.concat_ws("_", *[F.col(c).cast("string") for c in TASK]).alias("task_id"),
         *TASK,
@@ -72,6 +87,25 @@ def event_runtimes(df: DataFrame) -> DataFrame:
     )
 
 
+def _pairs_in_blocks(submits: DataFrame, finishes: DataFrame, block: int) -> DataFrame:
+    """Pairs of a submit and a later finish, block of submits by block of finishes in time order.
+
+    Two blocks meet only if the second one's last finish comes after the first one's first submit.
+    """
+
+    def blocked(side: DataFrame, time: str, name: str) -> DataFrame:
+        ranked = with_global_rank(side, [*[F.col(c) for c in TASK], F.col(time)], "_rank")
+        return ranked.withColumn(name, F.floor(F.col("_rank") / block)).drop("_rank")
+
+    left, right = blocked(submits, "start_time", "_sb"), blocked(finishes, "end_time", "_fb")
+    first = left.groupBy(*TASK, "_sb").agg(F.min("start_time").alias("_first"))
+    last = right.groupBy(*TASK, "_fb").agg(F.max("end_time").alias("_last"))
+    cells = stage(first.join(last, TASK).filter(F.col("_last") > F.col("_first")).drop("_first", "_last"))
+    cell = [*TASK, "_sb", "_fb"]
+    met = left.join(cells, [*TASK, "_sb"]).join(right.join(cells, [*TASK, "_fb"]), cell)
+    return met.filter(F.col("end_time") > F.col("start_time")).drop("_sb", "_fb")
+
+
 def extract_runtimes(df: DataFrame, unit: str = "auto") -> DataFrame:
     """Runtimes by the columns present: duration, then start/end, then events."""
     have = set(df.columns)

@@ -303,6 +303,13 @@ def task_runtimes_event(spark, folder):
     return runtimes.event_runtimes(clean.clean_events(activity_trace(spark, folder)))
 
 
+@query(f"WITH {EVENTS} SELECT job_id || '_' || task_index AS task_id, job_id, task_index, start_time, end_time, runtime FROM pairs")
+def task_runtimes_hot(spark, folder):
+    """The same pairs with every task of more than one pair treated as a huge one."""
+    pairs = runtimes.event_runtimes(clean.clean_events(activity_trace(spark, folder)), hot_pairs=1, block=2)
+    return pairs.select("task_id", "job_id", "task_index", "start_time", "end_time", "runtime")
+
+
 @query(f"""WITH {EVENTS}, st AS (SELECT job_id, avg(runtime) AS a, max(runtime) AS m, coalesce(stddev_samp(runtime), 0) AS s
   FROM pairs GROUP BY job_id) SELECT job_id, round(a / 1e6, 4) AS avg_task_runtime, m AS max_task_runtime, round(s / 1e6, 4) AS std_task_runtime,
   (m >= 2 * a)::INTEGER AS is_skewed FROM st""")
@@ -993,6 +1000,32 @@ def smote_balance(spark, folder):
     return out.groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
 
 
+_NAMES = ("num_tasks", "scheduling_class", "priority", "cpu_request_mean", "cpu_request_std", "memory_request_mean", "memory_request_std",
+          "disk_space_request_mean", "disk_space_request_std", "different_machine_constraint_mean")
+
+
+@query(f"""WITH {FEATS}, {STATS}, f AS (SELECT is_skewed, [floor(x * 1000 + 0.2718::DOUBLE) / 1000.0::DOUBLE FOR x IN {VEC}] AS v FROM feats JOIN labelled USING (job_id)),
+n AS (SELECT count(*) FILTER (is_skewed = 1) AS few, count(*) FILTER (is_skewed = 0) AS many FROM f),
+p AS (SELECT v, count(*) AS copies, sha256(array_to_string([x::VARCHAR FOR x IN v], ',')) AS id FROM f WHERE is_skewed = 1 GROUP BY v),
+near AS (SELECT a.id, b.v AS ov, b.copies AS oc, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS nth FROM p a JOIN p b ON a.id <> b.id),
+g AS (SELECT id, flatten(list([ov FOR x IN range(least(oc, 5))] ORDER BY nth)) AS others FROM near WHERE nth <= 5 GROUP BY id),
+s AS (SELECT p.*, others, sum(copies) OVER (ORDER BY id)::BIGINT AS upto FROM p LEFT JOIN g USING (id)),
+z AS (SELECT id, v, list_concat([v FOR x IN range(least(copies - 1, 5))], others)[1:5] AS slots, (upto * (many - few)) // few - ((upto - copies) * (many - few)) // few AS made FROM s, n),
+e AS (SELECT id, v, slots, unnest(range(made)) AS i FROM z),
+d AS (SELECT id, i, v, {sql_draw('42-gap', "id || ':' || i")} AS gap, slots[floor({sql_draw('42-slot', "id || ':' || i")} * len(slots))::INTEGER + 1] AS t FROM e)
+SELECT 'synthetic-' || id || '-' || i AS id, {", ".join(f"round(v[{i}] + gap * (t[{i}] - v[{i}]), 6) AS {c}" for i, c in enumerate(_NAMES, 1))} FROM d""")
+def smote_rows(spark, folder):
+    """The synthetic jobs that balance the skewed ones: every vector, not their number only.
+
+    Features are cut to three digits, off the ties of short decimal fractions, so that two engines have the same points.
+    """
+    frame = features.training_frame(trained_jobs(spark, folder))
+    jobs = stage(frame.select("label", F.transform(vector_to_array("features"), lambda x: F.floor(x * 1000 + F.lit(0.2718)).cast("double") / F.lit(1000.0)).alias("vec")))
+    sizes = jobs.agg(F.count_if(F.col("label") == 1).alias("few"), F.count_if(F.col("label") == 0).alias("many")).first()
+    made = smote.synthetic_rows(jobs.filter("label = 1").select("vec"), sizes["many"] - sizes["few"])
+    return rounded(made.select("id", *[F.col("vec")[i].alias(c) for i, c in enumerate(_NAMES)]), 6, *_NAMES)
+
+
 def _fitted(spark, folder, name: str) -> DataFrame:
     """Predictions of one calibrated model on the late jobs, trained on the early ones."""
     parts = stage(splits.time_split(trained_jobs(spark, folder)))

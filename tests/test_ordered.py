@@ -128,3 +128,28 @@ def test_pair_free_stats_of_hot_tasks(spark):
             assert got.loc[job, "avg_task_runtime"] == pytest.approx(w["mean"])
             assert got.loc[job, "max_task_runtime"] == w["max"]
             assert got.loc[job, "std_task_runtime"] == pytest.approx(w["std"] if w["std"] == w["std"] else 0.0)
+
+
+def test_pairs_of_hot_tasks(spark):
+    """Blocks of one hot task give the pairs of the plain join, also with equal times and null ids."""
+    rows = [(1, 0, 0, float(i // 3)) for i in range(90)] + [(1, 0, 4, float(i)) for i in range(40)]
+    rows += [(2, 0, 0, 1.0), (2, 0, 4, 5.0), (2, 1, 4, 5.0), (None, 0, 0, 1.0), (None, 0, 4, 2.0), (1, 0, 4, None), (1, 0, 0, None)]
+    df = spark.createDataFrame(rows, "job_id long, task_index long, event_type int, timestamp double")
+    plain, cut = runtimes.event_runtimes(df), runtimes.event_runtimes(df, hot_pairs=100, block=16)
+    assert plain.count() == sum(f > i // 3 for i in range(90) for f in range(40)) + 1
+    assert plain.exceptAll(cut).count() == 0 and cut.exceptAll(plain).count() == 0
+
+
+def test_a_hot_task_is_spread(spark):
+    """No key of the blocked join holds more than block events a side."""
+    keys = ("job_id", "task_index")
+    side = lambda n, time: spark.range(n).selectExpr("1L AS job_id", "0L AS task_index", f"cast(id AS double) AS {time}")
+    seen = []
+    real = runtimes.stage
+    runtimes.stage = lambda df: seen.append(real(df)) or seen[-1]
+    try:
+        pairs = runtimes._pairs_in_blocks(side(1000, "start_time"), side(1000, "end_time"), 100)
+        assert pairs.groupBy(*keys).count().collect()[0]["count"] == 1000 * 999 // 2
+    finally:
+        runtimes.stage = real
+    assert seen[0].count() == 55  # of 100 pairs of blocks those that can hold a later finish
