@@ -138,16 +138,27 @@ def with_running_sums(
     return out.drop("_pid", *[f"_c_{dst}" for dst in sums])
 
 
+KEY_BUCKETS = 1 << 16  # groups of keys counted before the keys themselves
+SEVERAL = 50_000  # below, a limit is passed by too many groups of keys for them to tell anything
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None when there are none.
 
-    A known-short list comes back with a broadcast hint, a longer one as a
-    plain join side.
+    With a large limit the rows are counted by a hash of their key first, and only keys
+    of a group with more rows than the limit are counted by themselves.  A known-short
+    list comes back with a broadcast hint, a longer one as a plain join side, counted once.
     """
+    if limit >= SEVERAL:
+        group = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
+        full = [r["_g"] for r in df.groupBy(group.alias("_g")).count().filter(F.col("count") > limit).collect()]
+        if not full:
+            return None
+        df = df.filter(group.isin(full))
     sizes = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
     found = sizes.limit(BROADCAST_ROWS + 1).collect()
     if not found:
         return None
     if len(found) > BROADCAST_ROWS:
-        return sizes
+        return stage(sizes)
     return F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..functions.coerce import ID_ALIASES, alias_columns, coerce_numbers, number
 from ..schemas import FINISH, SUBMIT, require_columns
 from .ordered import hot_keys, with_global_rank, with_running_sums
-from .staging import broadcast_if_small, stage
+from .staging import broadcast_if_small, dealt, stage
 
 MICROS_CUTOFF = 1e10  # a larger maximum means the runtimes are microseconds
 TASK = ["job_id", "task_index"]
@@ -129,25 +129,30 @@ def event_job_stats(df: DataFrame, hot_rows: int = HOT_TASK_ROWS) -> DataFrame:
         F.col("job_id").isNotNull() & F.col("task_index").isNotNull() & F.col("timestamp").isNotNull()
     )
     # Times count from the earliest event: the exact integer sums stay far from 38 digits.
-    origin = events.agg(F.min("timestamp")).first()[0] or 0
+    first, n_events = events.agg(F.min("timestamp"), F.count(F.lit(1))).first()
+    origin = first or 0
     wide = "decimal(38,0)"
-    moments = events.groupBy(*TASK, (F.col("timestamp") - F.lit(origin)).cast("bigint").alias("t")).agg(
-        F.count_if(F.col("event_type") == SUBMIT).alias("s0"), F.count_if(F.col("event_type") == FINISH).alias("f0")
-    )
     t = F.col("t").cast("decimal(18,0)")
-    moments = moments.withColumns({"s1": (t * F.col("s0")).cast(wide), "s2": ((t * t).cast(wide) * F.col("s0")).cast(wide)})
     sums = {"c0": "s0", "c1": "s1", "c2": "s2"}
 
+    def moments(part: DataFrame) -> DataFrame:
+        out = part.groupBy(*TASK, (F.col("timestamp") - F.lit(origin)).cast("bigint").alias("t")).agg(
+            F.count_if(F.col("event_type") == SUBMIT).alias("s0"), F.count_if(F.col("event_type") == FINISH).alias("f0")
+        )
+        return out.withColumns({"s1": (t * F.col("s0")).cast(wide), "s2": ((t * t).cast(wide) * F.col("s0")).cast(wide)})
+
     def windowed(part: DataFrame) -> DataFrame:
+        """Sums within tasks of few events: dealt by task once, for counting, sums and totals alike."""
         upto = Window.partitionBy(*TASK).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-        return part.withColumns({dst: F.sum(src).over(upto) for dst, src in sums.items()})
+        return moments(dealt(part, n_events, *TASK)).withColumns({dst: F.sum(src).over(upto) for dst, src in sums.items()})
 
-    hot = hot_keys(events, TASK, hot_rows)
+    narrow = events.select(*TASK, "timestamp", "event_type")
+    hot = hot_keys(narrow, TASK, hot_rows)
     if hot is None:
-        run = windowed(moments)
+        run = windowed(narrow)
     else:
-        ranged = with_running_sums(moments.join(hot, TASK, "left_semi"), TASK, [F.col("t")], sums, hot_rows)
-        run = windowed(moments.join(hot, TASK, "left_anti")).unionByName(ranged)
+        ranged = with_running_sums(moments(narrow.join(hot, TASK, "left_semi")), TASK, [F.col("t")], sums, hot_rows)
+        run = windowed(narrow.join(hot, TASK, "left_anti")).unionByName(ranged)
 
     # Submits at the very time of the finish give runtime 0 and do not count.
     k, a, b = F.col("c0") - F.col("s0"), F.col("c1") - F.col("s1"), F.col("c2") - F.col("s2")

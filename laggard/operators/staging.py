@@ -8,16 +8,19 @@ them back.  The files also survive the loss of executors.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Most rows a side may have to be broadcast after its size was counted.
 BROADCAST_ROWS = 200_000
+# Rows one task gets to sort or to group, so that its memory does not grow with the table.
+TASK_ROWS = 500_000
 
 _STAGED: list[str] = []
 _SCOPE: ContextVar[list[str] | None] = ContextVar("staged", default=None)
@@ -75,3 +78,14 @@ def release_staged(spark: SparkSession) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when a count shows at most ``limit`` rows; otherwise a plain join side."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def dealt(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
+    """``df`` of ``rows`` rows dealt by ``keys`` to tasks of about ``TASK_ROWS`` rows; a table of one such task comes back as it is.
+
+    Windows and aggregates on the keys then need no further shuffle, and their tasks
+    are as large for a large table as for a small one.
+    """
+    if rows <= TASK_ROWS:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)), *keys)

@@ -18,7 +18,7 @@ from ..operators import baseline, clean, early, explore, features, labels, metri
 from ..operators.neighbours import nearest
 from ..operators.ordered import with_running_sums
 from ..operators.quantiles import exact_quantiles
-from ..operators.staging import stage, stage_root
+from ..operators.staging import dealt, stage, stage_root
 from ..schemas import EVENT13
 from ..sources.generate import jobs_for_keys, labelled_columns
 from ..sources.mart import read_mart, write_mart
@@ -337,7 +337,9 @@ SELECT job_id, round(avg(gap), 2) AS mean_gap, round(coalesce(stddev_samp(gap),
 def tight_runtimes(spark, folder):
     """Spread of runtimes near 1e12 that differ by less than 50."""
     task = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(F.col("l_orderkey").alias("job_id"), task.alias("task_index"), "l_partkey")
+    items = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    items = dealt(items, items.count(), "l_orderkey")
+    rows = stage(items.select(F.col("l_orderkey").alias("job_id"), task.alias("task_index"), "l_partkey"))
     submit = rows.select("job_id", "task_index", F.lit(0).alias("event_type"), F.lit(1_000_000).cast("bigint").alias("timestamp"))
     end = F.lit(1_000_001_000_000) + F.col("l_partkey") % 50
     finish = rows.select("job_id", "task_index", F.lit(4).alias("event_type"), end.alias("timestamp"))
