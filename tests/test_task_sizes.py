@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from laggard.operators import ordered, staging
+from laggard.operators.early import early_features_sweep
 from laggard.operators.runtimes import event_job_stats
 
 
@@ -19,6 +20,15 @@ def _tasks(spark, n=600):
     return spark.range(n).select((i % 60).alias("job_id"), i.alias("task_index"), ((i * 7) % 101 + 1).cast("double").alias("runtime"))
 
 
+def test_sweep_deals_rows_by_their_number(spark, monkeypatch):
+    rows = _tasks(spark)
+    plain = _sorted(early_features_sweep(rows, (0.1, 1.0)))
+    monkeypatch.setattr(staging, "TASK_ROWS", 20)
+    many = early_features_sweep(rows, (0.1, 1.0))
+    assert many.rdd.getNumPartitions() >= 30
+    assert _sorted(many) == plain
+
+
 def test_event_stats_deal_rows_by_their_number(spark, monkeypatch):
     rows = _tasks(spark).select("job_id", F.col("task_index").alias("task_index"), "runtime")
     ends = rows.select("job_id", "task_index", F.lit(4).alias("event_type"), (F.col("runtime") + 5).cast("bigint").alias("timestamp"))
