@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from laggard.operators import ordered, staging
-from laggard.operators.early import early_features_sweep
+from laggard.operators.early import early_features, early_features_sweep
 from laggard.operators.runtimes import event_job_stats
 
 
@@ -55,3 +55,12 @@ def test_hot_keys_by_groups(spark, monkeypatch):
     monkeypatch.setattr(ordered, "stage", lambda df: counted.append(_plan(df)) or df)
     ordered.hot_keys(rows, ["k"], 9)
     assert "xxhash64" in counted[0]
+
+
+def test_hot_slices_read_their_rows_once(spark, tmp_path):
+    _tasks(spark).withColumn("origin_mark", F.lit(1)).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    cut = early_features(rows, hot_rows=2)
+    assert sum("Relation" in line and "origin_mark" in line for line in _plan(cut).splitlines()) == 1
+    close = lambda df: sorted((r["job_id"], r["early_num_tasks"], round(r["early_avg_task_runtime"], 9), round(r["early_std_task_runtime"], 9)) for r in df.collect())
+    assert close(cut) == close(early_features(rows))
