@@ -1,8 +1,9 @@
 """Tasks that stay small for large tables: rows dealt by count, hot keys by groups, hot slices read once."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from laggard.operators import ordered, staging
+from laggard.operators import neighbours, ordered, staging
 from laggard.operators.early import early_features, early_features_sweep
 from laggard.operators.runtimes import event_job_stats
 
@@ -64,3 +65,24 @@ def test_hot_slices_read_their_rows_once(spark, tmp_path):
     assert sum("Relation" in line and "origin_mark" in line for line in _plan(cut).splitlines()) == 1
     close = lambda df: sorted((r["job_id"], r["early_num_tasks"], round(r["early_avg_task_runtime"], 9), round(r["early_std_task_runtime"], 9)) for r in df.collect())
     assert close(cut) == close(early_features(rows))
+
+
+def test_a_point_is_compared_with_the_pivots_of_near_groups():
+    random = np.random.default_rng(5)
+    at = np.repeat(random.integers(0, 60, (450, 2)).astype(float), 2, axis=0)  # with equal pivots
+    x = np.concatenate([random.uniform(0, 60, (500, 2)), at[:100], [[500.0, 500.0]]])
+    pivots, met = neighbours._Pivots(at), 0
+    near = pivots.near
+
+    def counted(*args):
+        nonlocal met
+        for rows, some, d in near(*args):
+            met += d.size
+            yield rows, some, d
+
+    pivots.near = counted
+    cell, dist, sure = pivots.cells(x, 5)
+    d = neighbours._distances(x, at)
+    assert (cell == d.argmin(axis=1)).all() and (dist == d.min(axis=1)).all()
+    assert (sure >= np.sort(d, axis=1)[:, 5]).all() and np.isfinite(sure).all()
+    assert met < d.size / 3
