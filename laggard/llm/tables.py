@@ -11,12 +11,12 @@ from ..operators.staging import stage_root
 
 
 class Table:
-    """Rows written once below the shared checkpoint folder, and read back as ``rows``."""
+    """Rows written once below the shared checkpoint folder, and read back as ``rows``; ``by`` names columns whose values get a folder each."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, *by: str):
         spark = df.sparkSession
         self.path = f"{stage_root(spark)}/laggard/{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.parquet(self.path, partitionBy=list(by) or None)
         self.rows = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

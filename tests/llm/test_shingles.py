@@ -1,7 +1,9 @@
 """Copies by word shingles against all pairs."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -71,3 +73,31 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"], r["set"]) for r in shingles.deduplicated(docs).collect()) == [(3, "x"), (9, "x"), (11, "x")]
     assert shingles.deduplicated(docs.limit(0)).count() == 0
     assert shingles.deduplicated(spark.createDataFrame([(None, text), (None, text)], "doc_id long, text string")).count() == 1
+
+
+def test_a_prefix_takes_no_copy_of_the_common_shingles():
+    common = np.arange(0, 4_000_000, 2, dtype=np.uint64)
+    hashes = np.arange(1_000, dtype=np.uint64)
+    tracemalloc.start()
+    got = shingles.prefix(hashes, common)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1 << 20
+    assert got.tolist() == [*range(1, 403, 2)]
+    assert shingles.prefix(hashes, common[:0]).tolist() == [*range(201)]
+    assert shingles.prefix(hashes[:3], common[5:]).tolist() == [0]
+
+
+def test_pairs_verified_in_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK_SHINGLES", 1)
+    monkeypatch.setattr(shingles, "BLOCKS", 3)
+    rows = corpus()[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingles.deduplicated(docs).collect()) == kept(rows)
+
+
+def test_a_block_reads_its_own_pairs_only(spark):
+    dealt = shingles._dealt(spark.range(1000).selectExpr("id AS a", "id + 1 AS b", "1 AS n_a", "1 AS n_b"))
+    assert dealt.rows.count() == dealt.rows.distinct().count() == 1000
+    plan = dealt.rows.filter("part % 4 = 1").drop("part")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "Filter (" not in plan
