@@ -144,7 +144,8 @@ def score_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with staged_here(batch.sparkSession):
-            good, bad = split_corrupt(job_rows(batch, schema) if is_lines(batch) else batch)
+            # Lines are parsed once; the scored rows and the broken ones are both read from the parsed ones.
+            good, bad = split_corrupt(stage(job_rows(batch, schema)) if is_lines(batch) else batch)
             predicted = predict(good)
             if mode == HISTORY:
                 predicted = relative(stage(predicted.withColumn(ARRIVAL, F.monotonically_increasing_id())), batch_id).drop(ARRIVAL)

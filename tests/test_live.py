@@ -139,3 +139,19 @@ def test_header_marks(spark, tmp_path):
     (tmp_path / "in" / "d.csv").write_text("job_id,other\nz,1\n")
     assert run(spark, tmp_path, live.ABSOLUTE).count() == 3
     assert [r["line"] for r in spark.read.json(str(tmp_path / "bad")).collect()] == ["z,1"]
+
+
+def test_lines_are_parsed_once(spark, tmp_path, monkeypatch):
+    parsed = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        parsed.add(1)
+        return text
+
+    plain, counted = live.job_rows, F.udf(count, "string")
+    monkeypatch.setattr(live, "job_rows", lambda lines, schema: plain(lines, schema).withColumn(live.CORRUPT, counted(live.CORRUPT)))
+    jobs = generate_live_jobs(spark, 5).collect()
+    drop_file(tmp_path / "in", "a.csv", jobs, extra=["LIVE_X,not a number"])
+    assert run(spark, tmp_path, live.ABSOLUTE).count() == 5
+    assert spark.read.json(str(tmp_path / "bad")).count() == 1
+    assert parsed.value == 6
