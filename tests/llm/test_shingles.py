@@ -4,6 +4,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -101,3 +102,26 @@ def test_a_block_reads_its_own_pairs_only(spark):
     assert dealt.rows.count() == dealt.rows.distinct().count() == 1000
     plan = dealt.rows.filter("part % 4 = 1").drop("part")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(part" in plan and "Filter (" not in plan
+
+
+def test_stages_hand_python_bounded_batches(spark, small):
+    """Long texts reach Python a few at a time, and a bound that the session has stays."""
+    texts = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 5000) AS text", "'en' AS lang")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    most = lambda: texts.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+    spark.conf.unset(corpus_pipeline.BATCHES)
+    try:
+        assert most() > 8 << 20
+        for stage in (corpus_pipeline.known_language, corpus_pipeline.one_of_each_group):
+            spark.conf.unset(corpus_pipeline.BATCHES)
+            stage(spark, texts.limit(3), small)
+            assert most() < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(corpus_pipeline.BATCHES, 1 << 16)
+        corpus_pipeline.one_of_each_group(spark, texts.limit(3), small)
+        assert spark.conf.get(corpus_pipeline.BATCHES) == str(1 << 16)
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCHES)
