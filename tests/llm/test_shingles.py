@@ -125,3 +125,37 @@ def test_stages_hand_python_bounded_batches(spark, small):
         assert spark.conf.get(corpus_pipeline.BATCHES) == str(1 << 16)
     finally:
         spark.conf.unset(corpus_pipeline.BATCHES)
+
+
+def test_crowded_keys_give_way_to_rarer_ones(spark, monkeypatch):
+    """A line that the sample does not show as common is no key of the many texts that hold it."""
+    rng, most, real = random.Random(6), [], shingles.links
+    line = " ".join(f"line{i}" for i in range(20))
+    rows = [(i, f"{line} {' '.join(str(rng.random()) for _ in range(60))}") for i in range(60)]
+    rows += [(100 + i, edited(t.split(), rng, 1)) for i, t in rows[:5]]
+
+    def links(docs, sets, *args, **more):
+        most.append(sets.selectExpr("explode(keys) AS key").groupBy("key").count().agg({"count": "max"}).first()[0])
+        return real(docs, sets, *args, **more)
+
+    monkeypatch.setattr(shingles, "links", links)
+    monkeypatch.setattr(shingles, "common_shingles", lambda docs: np.zeros(0, np.uint64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingles.deduplicated(docs).collect()) == kept(rows)
+    assert most[0] <= shingles.CROWD
+
+
+def test_outsiders_meet_only_whom_they_may_be_similar_to(spark, monkeypatch):
+    """Forty texts edited from one, none similar to another: their shared keys say that no pair can be."""
+    rng, met, real = random.Random(7), [], shingles._verified
+
+    def verified(docs, sets, pairs):
+        met.append(pairs.count())
+        return real(docs, sets, pairs)
+
+    monkeypatch.setattr(shingles, "_verified", verified)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+    rows = [(i, edited(words, rng, 9)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingles.deduplicated(docs).collect()) == kept(rows)
+    assert met[1] < 100 < 40 * 39 // 2
