@@ -18,7 +18,7 @@ def one_fails(monkeypatch):
     monkeypatch.setattr(train, "fit_model", fit)
 
 
-@pytest.mark.parametrize("name", ["early_exec_model", "trained_evaluation"])
+@pytest.mark.parametrize("name", ["early_exec_model", "trained_evaluation", "transfer_matrix"])
 def test_a_query_fails_with_its_model(spark, small, one_fails, name):
     with pytest.raises(RuntimeError, match="lightgbm could not be fitted: no memory"):
         catalog.QUERIES[name](spark, small).collect()
