@@ -118,14 +118,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD, chunk: i
     keyed = fps.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     crowded = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd))
     crowded = broadcast_if_small(crowded)
-    few = keyed.join(crowded, "key", "left_anti")
-    left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+    # Spark sizes the exploded keys as one a fingerprint, and would broadcast all 64; the hint yields to a broadcast of ``crowded``.
+    few = keyed.hint("merge").join(crowded, "key", "left_anti")
+    left, right = few.hint("merge").select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     near = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits)
     pairs = left.join(right, near & _at_first_key(left["key"], x)).select("a", "b")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     mine, other = F.col("mine"), F.col("other")
-    many = keyed.join(crowded, "key").select(
+    many = keyed.hint("merge").join(crowded, "key").select(
         "fp", "key", F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")
     )
     blocks = many.select("fp", "key", F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"))

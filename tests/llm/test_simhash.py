@@ -1,6 +1,7 @@
 """SimHash links and components against all pairs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -84,3 +85,19 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 130)] + [(5, i) for i in range(6, 40)] + [(8, 8), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 100 for i in range(101, 131)}, **{i: 5 for i in range(6, 40)}}
+
+
+@pytest.mark.parametrize("few_crowded", [True, False])
+def test_exploded_keys_are_never_broadcast(spark, monkeypatch, few_crowded):
+    """Spark sizes 64 keys a fingerprint as one, so a table under its threshold would go through the driver 64 times over."""
+    if not few_crowded:  # as with too many crowded keys to broadcast
+        monkeypatch.setattr(simhash, "broadcast_if_small", lambda df: df)
+    fps = simhash.stage(spark.range(1000).selectExpr("xxhash64(id) AS fp"))
+    depth, under, sent = lambda line: len(re.match(r"[ :+\-]*", line)[0]), None, []
+    for line in simhash.links(fps)._jdf.queryExecution().executedPlan().toString().splitlines():
+        under = None if under is not None and depth(line) <= under else under
+        if "BroadcastExchange" in line:
+            under = depth(line)
+        elif under is not None:
+            sent.append(line)
+    assert not [line for line in sent if "Generate" in line] and bool(sent) == few_crowded
